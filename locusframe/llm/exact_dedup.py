@@ -93,3 +93,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("a.doc_id", F.when(F.col("b.group_size").isNull(), F.col("a.doc_id")).otherwise(F.col("b.keep_id")).alias("keep_id"), F.coalesce("b.group_size", F.lit(1)).alias("group_size"), "a.text_sha256")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each text, the same columns: the one of the smallest id, and one of the rows that repeat that id."""
+    marks = cut(exact_dedup(docs), "marks")
+    keys = marks.groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n")).filter("not kept or n > 1")
+    keys = cut(keys.select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"), F.col("kept").alias("again_")), "drop")
+    odd = broadcast_if_small(keys, keys.count(), BROADCAST_GROUPS)
+    named = docs.withColumn("sha_own_", F.sha2(_bytes_of(F.col("text")), 256))
+    met = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("sha_own_") == F.col("sha_"))
+    single = named.join(odd, met, "left_anti").select(docs.columns)
+    repeated = named.join(broadcast_if_small(keys.filter("again_"), keys.count(), BROADCAST_GROUPS), met, "left_semi").dropDuplicates(["doc_id", "sha_own_"]).select(docs.columns)
+    return single.unionByName(repeated)
