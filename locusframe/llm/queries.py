@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, edit_fingerprint, license_scan, near_dedup, quality, toxicity
+from . import byte_bpe, edit_fingerprint, lattice_lm, license_scan, near_dedup, quality, substring_dedup, toxicity
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_report
@@ -28,6 +28,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -44,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_near_dedup, op4_byte_bpe, op7_license_scan, op8_edit_fingerprint, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_near_dedup, op4_byte_bpe, op5_lattice_lm, op6_substring_dedup, op7_license_scan, op8_edit_fingerprint, op9_mixing, op10_toxicity)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -66,4 +74,14 @@ ORACLES = {
         m AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
         SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.u = d.doc_id""",
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        x AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+        m AS (SELECT h, min(doc_id) AS lo FROM x GROUP BY h),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN m USING (h) WHERE lo < doc_id),
+        v AS (SELECT w.doc_id, q.p, w.ws[q.p] AS word, c.p IS NOT NULL AS gone
+              FROM w, LATERAL (SELECT unnest(range(1, len(w.ws) + 1)) AS p) q LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = q.p),
+        k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM v GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""",
 }
