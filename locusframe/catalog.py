@@ -347,7 +347,7 @@ _D = "CASE WHEN jxy / NULLIF(sqrt(jx * jy), 0) = 0 THEN 'Infinity'::DOUBLE ELSE
 
 
 @query(C + _POP_FREQS + """, t AS (SELECT vid, pop, n, CASE WHEN cn >= 2 THEN c0 / NULLIF(c0 + c1 + c2, 0) END AS p0, CASE WHEN cn >= 2 THEN c1 / NULLIF(c0 + c1 + c2, 0) END AS p1_, CASE WHEN cn >= 2 THEN c2 / NULLIF(c0 + c1 + c2, 0) END AS p2_ FROM f),
-  q AS (SELECT *, (2 * n * (p0 * p0 + p1_ * p1_ + p2_ * p2_) - 1) / (2 * n - 1) AS u FROM t)""" + _NEI.format(d=f"GREATEST({_D}, 0.0::DOUBLE)"))
+  q AS (SELECT *, (2 * n * (p0 * p0 + p1_ * p1_ + p2_ * p2_) - 1) / (2 * n - 1) AS u FROM t)""" + _NEI.format(d=f"CASE WHEN {_D} < 0 THEN 0 ELSE {_D} END"))
 def nei_unbiased(spark, sf):
     return distances.nei_dists(derived.variations(spark, sf), ALLELES, derived.populations(spark, sf), 2).select("p1", "p2", _r("dist"))
 

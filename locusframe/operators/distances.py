@@ -72,7 +72,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 def _minus_log(identity: Column, clamp: bool) -> Column:
     d = F.when(identity == 0, F.lit(float("inf"))).otherwise(-F.ln(identity))
-    return F.greatest(d, F.lit(0.0)) if clamp else d
+    return F.when(d < 0, F.lit(0.0)).otherwise(d) if clamp else d
 
 
 def nei_dists(v: Variations, max_alleles: int, populations, min_num_genotypes: int | None = G.MIN_NUM_GENOTYPES) -> DataFrame:

@@ -14,7 +14,12 @@ from ..variations import Variations
 
 @dataclass
 class FilterResult:
-    """stats() is filled by the first action on variations: the counters ride on that pass and need none of their own."""
+    """stats() is filled by the first action on variations: the counters ride on that pass and need none of their own.
+
+    That action should run each task once, as a write or a collect does; a global sort above the
+    filter samples its input first and is counted twice. plans.pipeline.step_counts counts exactly
+    under any plan, in a pass of its own.
+    """
 
     variations: Variations
     filter_id: str
@@ -34,9 +39,9 @@ class FilterResult:
 
 def _apply(v: Variations, cond: Column, filter_id: str, stats: bool, value: Column | None = None, bins: int = BINS, range_: tuple | None = None, limits: tuple = ()) -> FilterResult:
     """Keeps rows for which cond is true. An observation stops filters from reaching the scan, so stats=False leaves it out."""
-    keep = F.coalesce(cond, F.lit(False))
     if not stats:
-        return FilterResult(v.with_df(v.df.filter(keep)), filter_id)
+        return FilterResult(v.with_df(v.df.filter(cond)), filter_id)
+    keep = F.coalesce(cond, F.lit(False))
     seen = Observation()
     marked = v.df.withColumn("__keep", keep)
     counters = [F.count_if("__keep").alias("n_kept"), F.count_if(~F.col("__keep")).alias("n_filtered_out")]
@@ -114,8 +119,8 @@ def _checked(regions) -> list[tuple]:
 def _by_region(v: Variations, regions, keep: bool, filter_id: str, stats: bool) -> FilterResult:
     regions = _checked(regions)
     if len(regions) <= PREDICATE_REGIONS:
-        cond = F.coalesce(_in_regions(regions), F.lit(False))
-        return _apply(v, cond if keep else ~cond, filter_id, stats)
+        cond = _in_regions(regions)
+        return _apply(v, cond if keep else ~F.coalesce(cond, F.lit(False)), filter_id, stats)
     spark = v.df.sparkSession
     rows = [(r[0], r[1] if len(r) == 3 else None, r[2] if len(r) == 3 else None) for r in regions]
     table = spark.createDataFrame(rows, "r_chrom string, r_start long, r_end long")
