@@ -175,5 +175,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, ids binary, decoded binary")
 
 
+def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs with ids and n_tokens in place of the text, the other columns as they are; rows as in encode."""
+    with open(ranks_path, "rb") as f:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+
+    def make():
+        codec = codec_of(raw.value, pattern)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*rest, "ids", "n_tokens"])
+
+        return run
+
+    kinds = dict(docs.dtypes)
+    return by_batch(docs.select(*rest, "text"), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "ids binary", "n_tokens long"]))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

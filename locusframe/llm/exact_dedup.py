@@ -99,10 +99,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each text, the same columns: the one of the smallest id, and one of the rows that repeat that id."""
     marks = cut(exact_dedup(docs), "marks")
     keys = marks.groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n")).filter("not kept or n > 1")
-    keys = cut(keys.select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"), F.col("kept").alias("again_")), "drop")
-    odd = broadcast_if_small(keys, keys.count(), BROADCAST_GROUPS)
-    named = docs.withColumn("sha_own_", F.sha2(_bytes_of(F.col("text")), 256))
-    met = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("sha_own_") == F.col("sha_"))
-    single = named.join(odd, met, "left_anti").select(docs.columns)
-    repeated = named.join(broadcast_if_small(keys.filter("again_"), keys.count(), BROADCAST_GROUPS), met, "left_semi").dropDuplicates(["doc_id", "sha_own_"]).select(docs.columns)
-    return single.unionByName(repeated)
+    keys = cut(keys.select("doc_id", "text_sha256", "kept"), "drop")
+    few = keys.count()
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.sha2(_bytes_of(F.col("text")), 256).alias("text_sha256"), F.struct(*docs.columns).alias("row")).alias("a")
+    met = F.expr("a.doc_id <=> b.doc_id and a.text_sha256 = b.text_sha256")
+    single = rows.join(broadcast_if_small(keys, few, BROADCAST_GROUPS).alias("b"), met, "left_anti")
+    repeated = rows.join(broadcast_if_small(keys.filter("kept"), few, BROADCAST_GROUPS).alias("b"), met, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return single.unionByName(repeated).select("row.*")

@@ -160,27 +160,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes:
     return Network().fit(got["text"].to_pylist(), got["label"].to_numpy().astype(np.float32))
 
 
-def score_quality(docs: DataFrame, network: Network) -> DataFrame:
-    """docs with a column quality_score, the probability that a text is good; a null text is an empty one and has a score too. Other columns stay as they are."""
+def score_quality(docs: DataFrame, network: Network, column: str = "quality_score") -> DataFrame:
+    """docs with one more column, the probability that a text is good; a null text is an empty one and has a score too. Other columns stay as they are."""
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             s = pa.array([network.score(t) for t in texts_of(b.column("text"))], pa.float64())
-            return pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "quality_score"])
+            return pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, column])
 
         return run
 
-    return by_batch(docs, make, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "quality_score double"]))
+    return by_batch(docs, make, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{column}` double"]))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; a null id counts as the empty text in the fold; rows that repeat come back as often."""
-    network = fit(docs, labels, rows)
-    scored = score_quality(docs.select("doc_id", "text"), network)
-    return scored.select("doc_id", (residue(F.col("doc_id"), FOLD) == HELD_OUT).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score_quality(docs.select("doc_id", "text"), fit(docs, labels, rows), "score")
+    return scored.select("doc_id", (residue(F.col("doc_id"), FOLD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with the columns of docs."""
-    scored = score_quality(docs, fit(docs, labels, rows))
-    return scored.filter(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+def keep_good(docs: DataFrame, network: Network) -> DataFrame:
+    """The rows of docs that the network doesn't reject, with the columns of docs."""
+    column = "quality_score" + "_" * max(len(c) for c in docs.columns)
+    return score_quality(docs, network, column).filter(F.col(column) >= THRESHOLD).drop(column)
