@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +103,30 @@ def residue(doc_id: Column, m: int) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df marked for broadcast where its counted rows are within the bound; else unmarked, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def by_group(df: DataFrame, key: str, sort: list[str], f: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """f for all rows of a key together, in order. A task holds one key's rows at a time, so keys must be of bounded size."""
+    spark = df.sparkSession
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(key).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and keys[lo] != last:
+                    if (out := f(pa.Table.from_batches(held))) is not None and out.num_rows:
+                        yield out
+                    held = []
+                last = keys[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held and (out := f(pa.Table.from_batches(held))) is not None and out.num_rows:
+            yield out
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key, *sort).mapInArrow(run, schema)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import by_group, cut, prepare
+from .components import components
 
 #: Samples on a scale, classes of characters (0 is the end of the text), steps before the table of bits repeats.
 SAMPLES, CLASSES, PERIOD = 256, 15, 8191
@@ -184,20 +185,54 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", "text", "part", "own").mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(prints: DataFrame, bands: int = 16, least: float = 0.8) -> DataFrame:
-    """(doc_id, other_id, likeness) of documents whose fingerprints agree in a band of sampled characters, verified on all samples.
+#: Bands of sampled characters, likeness from which fingerprints are linked, and members of a bucket that a task compares with each other; a larger bucket is dealt to pairs of its parts.
+BANDS, LEAST, BUCKET = 32, 0.8, 4096
 
-    prints has doc_id and fingerprint. Equal fingerprints form one class, for which its smallest
-    id stands, so copies are not paired. A band joins its members to the smallest id in it.
+
+def _bucket_links(t: pa.Table, least: float) -> pa.RecordBatch | None:
+    ids, side, own = (t[c].to_numpy() for c in ("doc_id", "side", "own"))
+    codes = np.frombuffer(b"".join(x.encode() for x in t["code"].to_pylist()), np.uint8).reshape(len(ids), SAMPLES)
+    labels, out = np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        other = np.flatnonzero((labels[i + 1 :] != labels[i]) & ((side[i + 1 :] == 0) | (side[i + 1 :] != side[i])) & (own[i + 1 :] | own[i])) + i + 1
+        if not other.size:
+            continue
+        used = (codes[other] != 48) | (codes[i] != 48)
+        same = ((codes[other] == codes[i]) & used).sum(1) / np.maximum(1, used.sum(1))
+        to = other[(same - 1 / CLASSES) / (1 - 1 / CLASSES) >= least]
+        found, first = np.unique(labels[to], return_index=True)
+        out += [(int(ids[i]), int(ids[k])) for k in to[first]]
+        labels[np.isin(labels, found) | (labels == labels[i])] = min([labels[i], *found])
+    if not out:
+        return None
+    a, b = zip(*out)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def near_classes(prints: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id) for prints(doc_id, fingerprint): the smallest id that links of this likeness reach, among documents that agree in a band of sampled characters.
+
+    Equal fingerprints are one class from the start. What a bucket sends on are links that join its
+    components, not all its pairs. Rows without an id or a fingerprint are left out.
     """
-    reps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    prints = prints.filter("doc_id is not null and fingerprint is not null")
+    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "prints")
     width = SAMPLES // bands
-    cut = F.expr(f"transform(sequence(0, {bands - 1}), i -> struct(i as band, substring(fingerprint, 4 + i * {width}, {width}) as key))")
-    rows = reps.withColumn("b", F.explode(cut)).select("doc_id", "fingerprint", F.substring("fingerprint", 1, 2).alias("scale"), "b.band", "b.key").filter(F.col("key").rlike("[1-9a-f]"))
-    heads = rows.groupBy("scale", "band", "key").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(heads, ["scale", "band", "key"]).filter(F.col("doc_id") != F.col("head.doc_id")).select("doc_id", "fingerprint", F.col("head.doc_id").alias("other_id"), F.col("head.fingerprint").alias("other")).dropDuplicates(["doc_id", "other_id"])
-    near = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
-    return pairs.withColumn("likeness", near("fingerprint", "other")).filter(F.col("likeness") >= least).select("doc_id", "other_id", "likeness")
+    parts = F.array(*[F.struct((F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int") + d).alias("scale"), F.lit(d == 0).alias("own"), F.substring("fingerprint", 4 + d * (SAMPLES + 1), SAMPLES).alias("code")) for d in (0, 1)])
+    coded = reps.select(F.col("rep").alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.*")
+    keys = F.expr(f"filter(transform(sequence(0, {bands - 1}), i -> struct(i as band, substring(code, i * {width} + 1, {width}) as key)), x -> x.key rlike '[1-9a-f]')")
+    rows = coded.select("doc_id", "scale", "own", F.explode(keys).alias("b")).select("doc_id", "own", "scale", F.xxhash64("scale", "b.band", "b.key").alias("key"))
+    full = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.max("scale").alias("s"), F.bool_or("own").alias("any")).filter("n > 1 and any")
+    full = full.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts")).cast("int")
+    met = rows.join(full, "key").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    dealt = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), side.alias("side"), "doc_id", "scale", "own")
+    members = dealt.join(coded, ["doc_id", "scale", "own"])
+    links = by_group(members.select("bucket", "side", "doc_id", "own", "code"), "bucket", ["doc_id"], lambda t: _bucket_links(t, least), "a long, b long")
+    comp = components(links)
+    named = reps.join(comp, reps.rep == comp.node, "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
+    return prints.select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "class_id")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -119,6 +119,26 @@ def test_walks_match_a_plain_walk():
     assert edit_fingerprint.fingerprints([t]) == [f"{scale:02x}:{expected[0].ljust(256, '0')}:{expected[1].ljust(256, '0')}"]
 
 
+def test_near_classes_match_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(12):
+        base = "".join(chr(97 + c) for c in rng.integers(0, 26, 400 + 60 * k))
+        texts += [base] + ["".join(chr(97 + int(rng.integers(26))) if rng.random() < 0.01 * m else c for c in base) for m in range(1, 6)] + [base]
+    prints = edit_fingerprint.fingerprints([edit_fingerprint.symbols(t) for t in texts])
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    parent = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if edit_fingerprint.likeness(prints[i], prints[j]) >= 0.8:
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert len(set(parent)) < len(parent) - 20
+    for bucket in (4096, 3):
+        monkeypatch.setattr(edit_fingerprint, "BUCKET", bucket)
+        assert dict(map(tuple, edit_fingerprint.near_classes(df).collect())) == dict(enumerate(parent))
+
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
