@@ -1,15 +1,14 @@
 """Near-duplicates by b-bit MinHash.
 
 A document's set of 5-word shingles gives 128 minima. Bands of five minima give candidates; of
-each minimum the low four bits are kept, packed into bit planes, and candidates are ranked and
-screened by the similarity that counting equal bits estimates, corrected for chance collisions.
-What is left is confirmed on the full sets of shingles.
-
-Documents with the same set form one class first, so copies are never compared. Inside a bucket
-pairs go out by rounds: first each class with its likeliest partner, then, between classes that
-are still in different components, with more and more partners until none is left untested. So
-all links count, though a large bucket that hangs together costs only as many pairs as it has
-members.
+each minimum the low four bits are kept, packed into bit planes, and counting equal bits estimates
+the similarity of candidates, corrected for chance collisions. What the estimate leaves is
+confirmed on the full sets of shingles.
+
+Documents with the same set form one class first, so copies are never compared. The members of a
+bucket come together with their texts, and are compared there, by blocks; what leaves the task
+are links that join the bucket's components, fewer than it has members, and not all pairs. A
+bucket with more shingles than a task should hold is dealt to all pairs of its parts.
 """
 
 from __future__ import annotations
@@ -29,8 +28,10 @@ MINIMA, BAND_ROWS, BITS = 128, 5, 4
 BANDS = MINIMA // BAND_ROWS
 #: Least estimate that is confirmed on full sets: 4.7 standard errors of 128 minima below the threshold.
 SCREEN = 0.70
-#: Classes of a bucket that one task compares with each other; larger buckets are dealt to pairs of such blocks.
-BLOCK = 8192
+#: Shingles of a bucket that one task holds; larger buckets are dealt to pairs of parts of half as many.
+BUCKET_SHINGLES = 4_000_000
+#: Members that are compared with the others of their bucket at once, and shingles counted at once.
+ROWS, COLUMNS = 256, 4096
 #: Candidate ids up to which their table is broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -102,102 +103,96 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def buckets_of(classes: DataFrame) -> DataFrame:
-    """(bucket, side, cls, rep, planes): classes that share a band, a bucket at a time; of buckets with the same classes one is kept."""
-    rows = classes.select("cls", F.explode("bands").alias("band"))
-    keys = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.shiftright("cls", 8)).alias("s")).filter("n > 1")
-    keys = keys.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")
-    met = rows.join(keys, "band").withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = met.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "cls")
-    return dealt.join(classes.select("cls", "rep", "planes"), "cls").select("bucket", "side", "cls", "rep", "planes")
-
-
-def partners(planes: np.ndarray, comp: np.ndarray, side: np.ndarray, most: int):
-    """(i, j, more) for each member's likeliest partners in other components, most of them at most; more: it has others."""
-    for lo in range(0, comp.size, 512):
-        hi = min(lo + 512, comp.size)
-        est = estimates(planes[lo:hi], planes)
-        est[comp[lo:hi, None] == comp[None, :]] = -1
-        # blocks that are compared with themselves have side 0; of two different ones only pairs across count
-        est[(side[lo:hi, None] == side[None, :]) & (side[lo:hi, None] != 0)] = -1
-        good = est >= SCREEN
-        for r in np.flatnonzero(good.any(1)):
-            found = np.flatnonzero(good[r])
-            if found.size > most:
-                order = np.lexsort((found, -est[r, found]))[:most]
-                yield from ((lo + int(r), int(j), True) for j in found[order])
-            else:
-                yield from ((lo + int(r), int(j), False) for j in found)
-
-
-def propose(buckets: DataFrame, most: int) -> DataFrame:
-    """(a, b, more) of classes to confirm, from buckets with a column comp; buckets of a single component say nothing."""
-    spark = buckets.sparkSession
+    """(bucket, side, cls): classes that share a band, a bucket at a time; of buckets with the same classes one is kept. Classes of a divided bucket have side 1 or 2 where two parts of it meet, and 0 where a part is by itself."""
+    rows = classes.select("cls", "n_shingles", F.explode("bands").alias("band"))
+    keys = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.shiftright("cls", 8)).alias("s"), F.sum("n_shingles").alias("all")).filter("n > 1")
+    keys = keys.groupBy("n", "x", "s").agg(F.min("band").alias("band"), F.max("all").alias("all")).select("band", "all")
+    parts = F.when(F.col("all") > BUCKET_SHINGLES, F.ceil(2 * F.col("all") / BUCKET_SHINGLES)).otherwise(1).cast("int")
+    mine = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int")
+    met = rows.join(keys, "band").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return met.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), side.alias("side"), "cls")
+
+
+def linked(planes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members as all their links would: one fewer than members in each component.
+
+    Sizes of intersections are products of the members' rows over the shingles that more than one
+    member has; rows are only formed for members for which the estimate leaves a candidate.
+    """
+    g = len(sets)
+    sizes = np.array([s.size for s in sets], np.int64)
+    owner = np.repeat(np.arange(g), sizes)
+    keys, code, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(uses > 1)
+    column = np.full(keys.size, -1, np.int64)
+    column[shared] = np.arange(shared.size)
+    column = column[code]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    labels, out = np.arange(g), []
+    for lo in range(0, g, ROWS):
+        hi = min(lo + ROWS, g)
+        good = estimates(planes[lo:hi], planes[lo:]) >= SCREEN
+        good &= (side[lo:hi, None] == 0) | (side[lo:hi, None] != side[None, lo:])
+        good &= (np.arange(lo, hi)[:, None] < np.arange(lo, g)[None, :]) & (labels[lo:hi, None] != labels[None, lo:])
+        rows = np.flatnonzero(good.any(1)) + lo
+        if not rows.size:
+            continue
+        common = np.zeros((rows.size, g - lo), np.float32)
+        at = np.full(g, -1)
+        at[rows] = np.arange(rows.size)
+        for c in range(0, shared.size, COLUMNS):
+            x, y = np.searchsorted(column, (c, c + COLUMNS))
+            who, what = owner[x:y], column[x:y] - c
+            width = min(COLUMNS, shared.size - c)
+            right = np.zeros((g - lo, width), np.float32)
+            right[who[who >= lo] - lo, what[who >= lo]] = 1
+            common += right[rows - lo] @ right.T
+        union = sizes[rows, None] + sizes[None, lo:] - common.astype(np.int64)
+        links = good[rows - lo] & (100 * common.astype(np.int64) >= SIMILARITY * union)
+        for k in np.flatnonzero(links.any(1)):
+            i = int(rows[k])
+            to = np.flatnonzero(links[k]) + lo
+            found, first = np.unique(labels[to], return_index=True)
+            new = found != labels[i]
+            out += [(i, int(j)) for j in to[first[new]]]
+            low = min(int(found[0]), int(labels[i]))
+            labels[np.isin(labels, found) | (labels == labels[i])] = low
+    return out
+
+
+def bucket_links(members: DataFrame) -> DataFrame:
+    """(a, b) ids linked, from members(bucket, side, cls, rep, text); a task has all rows of its buckets, sorted by them."""
+    spark = members.sparkSession
     prepare(spark)
-    alive = buckets.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    rows = buckets.join(alive, "bucket").select("bucket", "side", "cls", "comp", "planes")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []  # (side, rep, set, planes) of the bucket that is being read
         last = None
 
-        def pairs(t: pa.Table):
-            key = t["bucket"].to_numpy()
-            cls, comp, side = (t[c].to_numpy() for c in ("cls", "comp", "side"))
-            planes = np.frombuffer(b"".join(t["planes"].to_pylist()), np.uint64).reshape(len(cls), BITS, MINIMA // 64)
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            out: list[tuple] = []
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                for a, b, more in partners(planes[i:j], comp[i:j], side[i:j], most):
-                    x, y = int(cls[i + a]), int(cls[i + b])
-                    out.append((min(x, y), max(x, y), more))
-            a, b, more = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
-
-        # a bucket's rows follow each other; the last one of a batch may go on in the next
+        def pairs():
+            if len(held) < 2:
+                return
+            side, rep, sets, planes = zip(*held)
+            bits = np.frombuffer(b"".join(planes), np.uint64).reshape(len(held), BITS, MINIMA // 64)
+            if found := linked(bits, list(sets), np.array(side)):
+                a, b = zip(*((rep[i], rep[j]) for i, j in found))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("bucket").to_numpy()
-            tail = int(np.searchsorted(key[::-1] != key[-1], True)) if (key != key[-1]).any() else batch.num_rows
-            if tail < batch.num_rows:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, batch.num_rows - tail)]))
-                held = [batch.slice(batch.num_rows - tail)]
-            elif last is None or last == key[0]:
-                held.append(batch)
-            else:
-                yield pairs(pa.Table.from_batches(held))
-                held = [batch]
-            last = key[-1]
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+            texts, buckets, sides, reps, planes = texts_of(batch.column("text")), *(batch.column(c).to_pylist() for c in ("bucket", "side", "rep", "planes"))
+            for i, j in slices(texts):
+                for row, words in enumerate(Words(texts[i:j], lower=True), i):
+                    if buckets[row] != last:
+                        yield from pairs()
+                        held, last = [], buckets[row]
+                    held.append((sides[row], reps[row], shingles(words), planes[row]))
+        yield from pairs()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "cls").mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts(cls, text) has a text of each class."""
-    left = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    rows = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-
-    def make():
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = texts_of(b.column("ta")), texts_of(b.column("tb"))
-            both = [t for pair in zip(x, y) for t in pair]
-            keep = []
-            for i, j in slices([p + q for p, q in zip(x, y)]):
-                sets = iter(map(shingles, Words(both[2 * i : 2 * j], lower=True)))
-                for s, t in zip(sets, sets):
-                    common = np.intersect1d(s, t, assume_unique=True).size
-                    keep.append(100 * common >= SIMILARITY * (s.size + t.size - common))
-            return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return run
-
-    return by_batch(rows.select("a", "b", "ta", "tb"), make, "a long, b long")
+    return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep", "cls").select("bucket", "side", "rep", "planes", "text").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,37 +208,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = cut(sketch(text), "sketches")
     known = seen.filter("doc_id is not null and n_shingles > 0")
-    classes = cut(
-        known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("planes").alias("planes"), F.first("bands").alias("bands")).withColumn("cls", F.xxhash64("hi", "lo")), "classes"
-    )
+    first = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
+    classes = cut(first.withColumn("cls", F.xxhash64("hi", "lo")), "classes")
     buckets = cut(buckets_of(classes), "buckets")
-    members = buckets.select("cls", "rep").distinct()
     # one text of each class in a bucket, read again from the documents
-    wanted = cut(members, "wanted")
+    wanted = cut(buckets.select("cls").distinct().join(classes.select("cls", "rep", "planes"), "cls"), "wanted")
     ids = broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.count(), BROADCAST_IDS)
-    again = sketch_names(text.join(ids, "doc_id", "left_semi"))
-    texts = cut(again.join(wanted, (again.cls_ == wanted.cls) & (again.doc_id == wanted.rep)).dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    again = sketch_names(text.join(ids, "doc_id", "left_semi")).alias("x")
+    texts = again.join(wanted.alias("y"), F.expr("x.cls_ = y.cls and x.doc_id = y.rep")).select("cls", "rep", "planes", "text").dropDuplicates(["cls"])
+    found = bucket_links(buckets.join(cut(texts, "texts"), "cls"))
     # rows of one id with different texts
     twice = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     same_id = known.join(twice, "doc_id", "left_semi").join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
-    links = cut(same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same-id")
-    comp, tested, most = components(links), None, 1
-    while True:
-        marked = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        offered = cut(propose(marked, most), "offered")
-        new = offered if tested is None else offered.join(tested, ["a", "b"], "left_anti")
-        new = cut(new.select("a", "b"), "new")
-        more, fresh = offered.agg(F.max("more")).first()[0], new.count()
-        if fresh:
-            good = confirm(new, texts)
-            reps = classes.select("cls", "rep")
-            named = good.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
-            links = cut(links.unionByName(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links")
-            comp = cut(components(links), "components")
-            tested = new if tested is None else cut(tested.unionByName(new), "tested")
-        elif not more:
-            break
-        most *= 8
+    comp = components(found.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     to = classes.select("hi", "lo", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     found = seen.select("doc_id", "n_shingles", "hi", "lo").join(to, ["hi", "lo"], "left")
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")))
