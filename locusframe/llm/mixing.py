@@ -92,7 +92,8 @@ def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
 
 def taken_spans(laid: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, source, size, start, block, times, lo, hi): words lo to hi of a document lie in a block that was drawn so many times."""
-    drawn = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
+    # a table of generated slots looks small to the planner; it is as large as the blocks, so it must not be broadcast
+    drawn = slots.groupBy("source", "block").agg(F.count("*").alias("times")).hint("merge")
     pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
     return (
         pieces.alias("a").join(drawn.alias("b"), F.expr("a.source <=> b.source and a.block = b.block"))
