@@ -101,6 +101,11 @@ def write_histograms(results: list[flt.FilterResult], folder) -> list[Path]:
 
 def plot_histogram(counts, edges, path, lines=()) -> bool:
     """A bar plot on a logarithmic scale with lines at the thresholds; False where matplotlib is not installed."""
+    return plot_stacked_histograms([("", counts)], edges, path, lines)
+
+
+def plot_stacked_histograms(series, edges, path, lines=()) -> bool:
+    """Bars of (label, counts) on top of each other, over the same edges."""
     try:
         from matplotlib.backends.backend_agg import FigureCanvasAgg
         from matplotlib.figure import Figure
@@ -109,7 +114,10 @@ def plot_histogram(counts, edges, path, lines=()) -> bool:
     figure = Figure()
     FigureCanvasAgg(figure)
     axes = figure.add_subplot()
-    axes.bar(edges[:-1], counts, [b - a for a, b in zip(edges[:-1], edges[1:])], align="edge")
+    widths, bottom = [b - a for a, b in zip(edges[:-1], edges[1:])], [0] * (len(edges) - 1)
+    for label, counts in series:
+        axes.bar(edges[:-1], counts, widths, bottom=bottom, align="edge", label=label or None)
+        bottom = [x + y for x, y in zip(bottom, counts)]
     axes.set_yscale("log")
     axes.set_xbound(edges[0], edges[-1])
     for x in lines:

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from data import M, SAMPLES, simple, t7, values
 from pyspark.sql import functions as F
@@ -415,3 +416,18 @@ def test_derived_set_needs_no_cross_join(spark, sf):
 def test_bins_of_missing_values(spark):
     df = spark.createDataFrame([(None,), (1.0,), (0.0,), (2.0,)], "x double")
     assert [r[0] for r in df.select(bin_of(F.col("x"), edges_of(4, 0, 1))).collect()] == [None, 3, 0, None]
+
+
+def test_array_functions(spark):
+    from locusframe.functions import arrays as A
+
+    df = spark.createDataFrame([([1.0, 2.0, 4.0], [True, None, False], [1.0, None, 3.0])], "a array<double>, b array<boolean>, n array<double>")
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    got = df.select(
+        A.total(a), A.minimum(a), A.maximum(a), A.total(n), A.minimum(n), A.nansum(n), A.nanmean(n), A.count_nonzero(a), A.any_of(b), A.all_of(b), A.add(a, a), A.assign_with_mask(a, F.lit(-1.0), b),
+        A.stack(F.lit(1), F.lit(2)), A.full(2, 7), A.ones(3), A.logical_and(F.lit(True), F.lit(None).cast("boolean")), A.logical_or(F.lit(True), F.lit(None).cast("boolean")), A.logical_not(F.lit(None).cast("boolean")),
+        A.is_missing(F.lit(float("nan"))), A.is_infinite(F.lit(float("-inf"))), A.is_finite(F.lit(1.0)), A.is_finite(F.lit(None).cast("double")),
+    ).first()
+    assert list(got) == [7, 1, 4, None, None, 4, 2, 3, True, False, [2, 4, 8], [-1, 2, 4], [1, 2], [7, 7], [1, 1, 1], False, True, True, True, True, True, False]
+    doubled = A.map_blocks(spark.range(5), lambda t: t.set_column(0, "id", pc.multiply(t.column(0), 2)), "id long")
+    assert sorted(r.id for r in doubled.collect()) == [0, 2, 4, 6, 8]
