@@ -120,10 +120,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     if low is None:
         return docs.withColumns({"part": F.lit(0), "own": F.lit(True), "order": key})
     cuts = sorted({c for c in cuts or [] if c > low})
-    starts = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(starts, lambda c: c <= F.col("order")))
-    dealt = docs.withColumn("order", key).withColumn("part", part)
-    before = F.when(F.col("order") == low, F.lit(len(cuts))).when(F.array_contains(starts, F.col("order")), F.col("part") - 1)
+    # the cut points by slices of about the square root of their number, so that a row is compared with two short arrays
+    width = max(1, round(len(cuts) ** 0.5))
+    slices = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    heads = F.lit([c[0] for c in slices]) if slices else F.array().cast("array<long>")
+    inner = F.lit(slices) if slices else F.array().cast("array<array<long>>")
+    order = F.col("order")
+    dealt = docs.withColumn("order", key).withColumn("slice", F.size(F.filter(heads, lambda c: c <= order)) - 1)
+    dealt = dealt.withColumn("own_slice", F.get(inner, F.col("slice"))).withColumn("place", F.size(F.filter("own_slice", lambda c: c <= order)))
+    dealt = dealt.withColumn("part", F.when(F.col("slice") < 0, 0).otherwise(F.col("slice") * width + F.col("place")))
+    before = F.when(order == low, F.lit(len(cuts))).when(F.get("own_slice", F.col("place") - 1) == order, F.col("part") - 1)
     both = F.when(before.isNotNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(before.alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))))
     return (
         dealt.withColumn("to", F.explode(both)).select("doc_id", "text", "order", "to.part", "to.own")
