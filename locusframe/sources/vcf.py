@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..variations import CALL_FIELDS, Variations
+from .store import read_store, write_store
 
 COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 #: Keys of the per-call fields; those with a value for each allele.
@@ -44,12 +45,13 @@ def _numbers(size: Column):
 
 
 def read_vcf(spark, path: str, fields=None) -> Variations:
-    """Plain or compressed VCF. variant_idx is dense in file order: rows are counted by split, and only those counts reach the driver."""
+    """Plain or compressed VCF. variant_idx is dense in file order: rows are counted by split, and only those counts and the FORMATs seen reach the driver. Call fields that no row has are left out."""
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     header = [r.value for r in text.filter(F.col("value").startswith("#")).select("value").distinct().collect()]
     samples, meta = parse_header(header)
     body = text.filter((F.col("value") != "") & ~F.col("value").startswith("#")).withColumn("__id", F.monotonically_increasing_id())
-    splits = sorted(body.groupBy("file", "block").agg(F.min("__id").alias("lo"), F.count("*").alias("n")).collect(), key=lambda r: (r.file, r.block))
+    splits = sorted(body.groupBy("file", "block").agg(F.min("__id").alias("lo"), F.count("*").alias("n"), F.collect_set(F.get(F.split("value", "\t"), F.lit(8))).alias("formats")).collect(), key=lambda r: (r.file, r.block))
+    present = {key for r in splits for f in r.formats for key in f.rstrip("\r").split(":")}
     shift, done = [], 0
     for r in splits:
         shift.append((r.file, r.block, done - r.lo))
@@ -67,6 +69,8 @@ def read_vcf(spark, path: str, fields=None) -> Variations:
         "filter": known(6), "info": known(7),
     }
     for f, key in CALL_KEYS.items() if samples else ():
+        if key not in present:
+            continue
         if f == "gt":
             out[f] = F.transform(value(key), lambda g: F.transform(F.split(F.coalesce(g, F.lit("./.")), r"[/|]"), _int))
             out[f] = F.transform(out[f], lambda g: F.when((F.size(g) == 1) & (F.get(g, F.lit(0)) == G.MISSING), F.array(F.lit(G.MISSING), F.lit(G.MISSING))).otherwise(g))
@@ -169,3 +173,12 @@ def write_vcf_parts(v: Variations, path: str, version: str = "VCFv4.2") -> None:
     spark = v.df.sparkSession
     spark.createDataFrame([("\n".join(header_lines(v, version)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
     body_lines(v).orderBy("variant_idx").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/body")
+
+
+def vcf_to_store(spark, vcf_path: str, out_path: str, fields: list[str] | None = None, fmt: str = "parquet") -> None:
+    """Reads VCF text and writes a store; fields leaves out what isn't named."""
+    write_store(read_vcf(spark, vcf_path, fields), out_path, fmt)
+
+
+def store_to_vcf(spark, path: str, out, version: str = "VCFv4.2", legacy: bool = False) -> None:
+    write_vcf(read_store(spark, path), out, version, legacy)

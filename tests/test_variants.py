@@ -333,6 +333,10 @@ def test_vcf_round_trip(v, spark, tmp_path):
     assert got.samples == SAMPLES and got.metadata == v.metadata
     cols = ["variant_idx", "chrom", "pos", "id", "ref", "alt", "qual", "gt", "gq", "dp", "ro", "ao"]
     assert got.df.select(cols).orderBy("variant_idx").collect() == v.df.select(cols).orderBy("variant_idx").collect()
+    vcf.vcf_to_store(spark, str(path), f"{tmp_path}/store")
+    again = io.StringIO()
+    vcf.store_to_vcf(spark, f"{tmp_path}/store", again)
+    assert again.getvalue() == out.getvalue()
     vcf.write_vcf_parts(v, f"{tmp_path}/parts")
     assert [r.value for r in spark.read.text(f"{tmp_path}/parts/body").collect()][0] == GOLDEN
 
