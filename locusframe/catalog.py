@@ -376,7 +376,7 @@ _RHO = "(n * sxy - sx * sy) / NULLIF(sqrt((n * sxx - sx * sx) * (n * syy - sy *
 
 
 def _checked(spark, sf):
-    """The reference refuses nearly fixed variants, so they are filtered first."""
+    """Nearly fixed variants are refused by the check, so they are filtered first."""
     return filters.filter_by_maf(derived.variations(spark, sf), ALLELES, 0.95, None, LEAST, stats=False).variations
 
 
