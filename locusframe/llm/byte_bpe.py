@@ -20,52 +20,59 @@ from pyspark.sql import functions as F
 
 from .common import by_batch
 
-#: Remembered pre-tokens of a worker; the memo is emptied when it is full. Longer pre-tokens than MEMO_CHARS aren't remembered.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
+#: Remembered pre-tokens of a generation, of which there are two. Longer pre-tokens than MEMO_CHARS aren't remembered.
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 _M64 = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 
 
-def _mixed(h, level: int):
-    """A hash for each level from one 64-bit hash; for integers and uint64 arrays alike."""
-    if isinstance(h, int):
-        h = ((h ^ (level * _ODD & _M64)) * 0xBF58476D1CE4E5B9) & _M64
-        return h ^ (h >> 31)
-    h = (h ^ np.uint64(level * _ODD & _M64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(31))
+def _mixed(h: int, displacement: int) -> int:
+    h = ((h ^ (displacement * _ODD)) * 0xBF58476D1CE4E5B9) & _M64
+    return h ^ (h >> 32)
 
 
 class MinimalPerfectHash:
-    """Gives n distinct keys the numbers 0 .. n - 1 without storing the keys.
+    """Gives n distinct keys the numbers 0 .. n - 1 without storing the keys (hash and displace).
 
-    Level by level, keys that are alone at their place in a bit array are settled there; the
-    rest go on to the next level. A key's number is the rank of its bit.
+    Keys fall into buckets; largest first, each bucket gets the first displacement that sends its
+    keys to free numbers. A bucket of one key holds a free number itself, as -1 - number.
     """
 
-    def __init__(self, keys: list[bytes], gamma: float = 2.0):
-        left = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), "u8", len(keys))
-        self.sizes: list[int] = []
-        bits = []
-        while left.size:
-            size = max(64, int(left.size * gamma))
-            at = (_mixed(left, len(self.sizes)) % np.uint64(size)).astype("i8")
-            alone = np.bincount(at, minlength=size) == 1
-            bits.append(alone)
-            self.sizes.append(size)
-            left = left[~alone[at]]
-            if len(self.sizes) > 64:
+    def __init__(self, keys: list[bytes], displacements: list[int] | None = None, load: int = 3):
+        self.n = n = len(keys)
+        self.buckets = max(1, n // load)
+        self.displacements = displacements or [0] * self.buckets
+        if displacements:
+            return
+        members: dict[int, list[int]] = {}
+        for h in map(xxhash.xxh3_64_intdigest, keys):
+            members.setdefault(h % self.buckets, []).append(h)
+        taken = bytearray(n)
+        single = []
+        for bucket, hashes in sorted(members.items(), key=lambda x: -len(x[1])):
+            if len(hashes) == 1:
+                single.append(bucket)
+                continue
+            if len(set(hashes)) < len(hashes):
                 raise ValueError("keys are not distinct")
-        flat = np.concatenate(bits) if bits else np.zeros(0, bool)
-        self.rank = np.where(flat, np.cumsum(flat) - 1, -1).astype("i4").tolist()
-        self.base = np.cumsum([0, *self.sizes]).tolist()
+            d = 0
+            while True:
+                at = [_mixed(h, d) % n for h in hashes]
+                if len(set(at)) == len(at) and not any(taken[x] for x in at):
+                    break
+                d += 1
+            for x in at:
+                taken[x] = 1
+            self.displacements[bucket] = d
+        free = (x for x in range(n) if not taken[x])
+        for bucket, x in zip(single, free):
+            self.displacements[bucket] = -1 - x
 
     def __call__(self, key: bytes) -> int:
-        """The number of a key; of anything else any number, or -1."""
+        """The number of a key; of anything else some number."""
         h = xxhash.xxh3_64_intdigest(key)
-        for level, size in enumerate(self.sizes):
-            if (r := self.rank[self.base[level] + _mixed(h, level) % size]) >= 0:
-                return r
-        return -1
+        d = self.displacements[h % self.buckets]
+        return -1 - d if d < 0 else _mixed(h, d) % self.n
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -74,27 +81,32 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Memo(dict):
+    """What pre-tokens encode to. A full generation becomes the old one; what is still in use comes back from there."""
+
     def __init__(self, codec: "Codec"):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, token: str) -> bytes:
-        found = self.codec.encode_token(token.encode("utf-8", "surrogatepass"))
+        if (found := self.old.get(token)) is None:
+            found = self.codec.encode_token(token.encode("utf-8", "surrogatepass"))
         if len(token) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[token] = found
         return found
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, displacements: list[int] | None = None):
         self.ranks = ranks
         tokens = list(ranks)
-        self.hash = MinimalPerfectHash(tokens)
+        self.hash = MinimalPerfectHash(tokens, displacements)
+        self.packed = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self.slots: list[tuple[bytes, bytes]] = [(b"", b"")] * len(tokens)
         for t in tokens:
-            self.slots[self.hash(t)] = (t, ranks[t].to_bytes(4, "little"))
+            self.slots[self.hash(t)] = (t, self.packed[t])
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
             self.bytes_of[i] = t
@@ -103,19 +115,20 @@ class Codec:
         self.memo = Memo(self)
 
     def encode_token(self, token: bytes) -> bytes:
-        slot = self.hash(token)
-        if slot >= 0 and self.slots[slot][0] == token:
-            return self.slots[slot][1]
-        return np.array(self.merge(token), "<u4").tobytes()
+        known, packed = self.slots[self.hash(token)]
+        return packed if known == token else self.merge(token)
 
-    def merge(self, token: bytes) -> list[int]:
-        """Lowest rank first, leftmost first among equals. after[i]: where the part that starts at i ends, -1 once it has been swallowed."""
+    def merge(self, token: bytes) -> bytes:
+        """Lowest rank first, leftmost first among equals. after[i]: where the part that starts at i ends, -1 once it has been swallowed. A heap entry is one integer: rank, start and end."""
         n, rank = len(token), self.ranks.get
+        width = n.bit_length()
+        mask, double = (1 << width) - 1, 2 * width
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
+        heap = [r << double | i << width | i + 2 for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
         heapify(heap)
         while heap:
-            _, i, end = heappop(heap)
+            entry = heappop(heap)
+            i, end = entry >> width & mask, entry & mask
             middle = after[i]
             if middle < 0 or middle >= n or after[middle] != end:
                 continue
@@ -123,14 +136,14 @@ class Codec:
             if end < n:
                 before[end] = i
                 if (r := rank(token[i : after[end]])) is not None:
-                    heappush(heap, (r, i, after[end]))
+                    heappush(heap, r << double | i << width | after[end])
             if (p := before[i]) >= 0 and (r := rank(token[p:end])) is not None:
-                heappush(heap, (r, p, end))
-        ids, i = [], 0
+                heappush(heap, r << double | p << width | end)
+        ids, i, packed = [], 0, self.packed
         while i < n:
-            ids.append(self.ranks[token[i : after[i]]])
+            ids.append(packed[token[i : after[i]]])
             i = after[i]
-        return ids
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -144,14 +157,21 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec_of(raw: bytes, pattern: str) -> Codec:
+def codec_of(raw: bytes, pattern: str, displacements: list[int] | None = None) -> Codec:
     """Made once in a process for each rank file and pattern."""
     key = hashlib.sha256(raw + pattern.encode()).hexdigest()
     if key not in _codecs:
-        _codecs[key] = Codec(read_ranks(raw), pattern)
+        _codecs[key] = Codec(read_ranks(raw), pattern, displacements)
     return _codecs[key]
 
 
+def _shipped(df: DataFrame, ranks_path: str, pattern: str):
+    """The rank file and the perfect hash, which is found on the driver, for the executors. Both have the vocabulary's size."""
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+    return df.sparkSession.sparkContext.broadcast((raw, codec_of(raw, pattern).hash.displacements))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs: ids as little-endian unsigned 32-bit integers, and the bytes that they decode to.
 
@@ -159,11 +179,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     rows that repeat come back as often, other columns are not looked at. The rank file is read on
     the driver and broadcast: its size is that of the vocabulary.
     """
-    with open(ranks_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    shipped = _shipped(docs, ranks_path, pattern)
 
     def make():
-        codec = codec_of(raw.value, pattern)
+        raw, displacements = shipped.value
+        codec = codec_of(raw, pattern, displacements)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = [codec.encode(t or "") for t in b.column(1).to_pylist()]
@@ -177,12 +197,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with ids and n_tokens in place of the text, the other columns as they are; rows as in encode."""
-    with open(ranks_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    shipped = _shipped(docs, ranks_path, pattern)
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
 
     def make():
-        codec = codec_of(raw.value, pattern)
+        raw, displacements = shipped.value
+        codec = codec_of(raw, pattern, displacements)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
