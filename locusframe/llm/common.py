@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,7 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_locusframe_folder", None)
     if not found:
-        found = spark.sparkContext._locusframe_folder = "file://" + tempfile.mkdtemp(prefix="locusframe-shared-")
+        own = tempfile.mkdtemp(prefix="locusframe-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = spark.sparkContext._locusframe_folder = "file://" + own
     return found
 
 
@@ -59,8 +62,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def clean() -> None:
+    """Removes the tables that this process has written to the shared folder; results that read them can't be used after. Runs at the end of the process in any case."""
+    while _written:
+        spark, path = _written.pop()
         try:
             if spark.sparkContext._jsc is not None:
                 _remove(spark, path)
