@@ -31,8 +31,8 @@ def _first(norm, block_bytes):
 
 
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorted distinct contents with an integer for each: the place in the sorted partitions."""
-    return distinct.orderBy(*keys).withColumn("name", F.monotonically_increasing_id())
+    """Distinct contents with an integer for each: the place in the sorted partition, below the partition's number. A global sort would send samples of whole blocks to the driver."""
+    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
