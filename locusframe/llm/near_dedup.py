@@ -103,15 +103,15 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def buckets_of(classes: DataFrame) -> DataFrame:
-    """(bucket, side, cls): classes that share a band, a bucket at a time; of buckets with the same classes one is kept. Classes of a divided bucket have side 1 or 2 where two parts of it meet, and 0 where a part is by itself."""
-    rows = classes.select("cls", "n_shingles", F.explode("bands").alias("band"))
-    keys = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.shiftright("cls", 8)).alias("s"), F.sum("n_shingles").alias("all")).filter("n > 1")
+    """(bucket, side, hi, lo): classes that share a band, a bucket at a time; of buckets with the same classes one is kept. Classes of a divided bucket have side 1 or 2 where two parts of it meet, and 0 where a part is by itself."""
+    rows = classes.select("hi", "lo", "n_shingles", F.explode("bands").alias("band"))
+    keys = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.bit_xor(F.xxhash64("lo", "hi")).alias("s"), F.sum("n_shingles").alias("all")).filter("n > 1")
     keys = keys.groupBy("n", "x", "s").agg(F.min("band").alias("band"), F.max("all").alias("all")).select("band", "all")
     parts = F.when(F.col("all") > BUCKET_SHINGLES, F.ceil(2 * F.col("all") / BUCKET_SHINGLES)).otherwise(1).cast("int")
-    mine = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("hi", "lo", F.lit(1)), F.col("parts")).cast("int")
     met = rows.join(keys, "band").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return met.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), side.alias("side"), "cls")
+    return met.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), side.alias("side"), "hi", "lo")
 
 
 def linked(planes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -164,7 +164,7 @@ def linked(planes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list
 
 
 def bucket_links(members: DataFrame) -> DataFrame:
-    """(a, b) ids linked, from members(bucket, side, cls, rep, text); a task has all rows of its buckets, sorted by them."""
+    """(a, b) ids linked, from members(bucket, side, rep, planes, text); a task has all rows of its buckets, sorted by them."""
     spark = members.sparkSession
     prepare(spark)
 
@@ -192,7 +192,7 @@ def bucket_links(members: DataFrame) -> DataFrame:
         yield from pairs()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep", "cls").select("bucket", "side", "rep", "planes", "text").mapInArrow(run, "a long, b long")
+    return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep").select("bucket", "side", "rep", "planes", "text").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,14 +209,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seen = cut(sketch(text), "sketches")
     known = seen.filter("doc_id is not null and n_shingles > 0")
     first = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
-    classes = cut(first.withColumn("cls", F.xxhash64("hi", "lo")), "classes")
+    classes = cut(first, "classes")
     buckets = cut(buckets_of(classes), "buckets")
     # one text of each class in a bucket, read again from the documents
-    wanted = cut(buckets.select("cls").distinct().join(classes.select("cls", "rep", "planes"), "cls"), "wanted")
+    wanted = cut(buckets.select("hi", "lo").distinct().join(classes.select("hi", "lo", "rep", "planes"), ["hi", "lo"]), "wanted")
     ids = broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.count(), BROADCAST_IDS)
-    again = sketch_names(text.join(ids, "doc_id", "left_semi")).alias("x")
-    texts = again.join(wanted.alias("y"), F.expr("x.cls_ = y.cls and x.doc_id = y.rep")).select("cls", "rep", "planes", "text").dropDuplicates(["cls"])
-    found = bucket_links(buckets.join(cut(texts, "texts"), "cls"))
+    again = set_names(text.join(ids, "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
+    texts = again.join(wanted, ["hi", "lo", "rep"]).select("hi", "lo", "rep", "planes", "text").dropDuplicates(["hi", "lo"])
+    found = bucket_links(buckets.join(cut(texts, "texts"), ["hi", "lo"]))
     # rows of one id with different texts
     twice = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     same_id = known.join(twice, "doc_id", "left_semi").join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
@@ -227,8 +227,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
-def sketch_names(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with cls_, the class of each text's set."""
+def set_names(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with hi and lo, the name of each text's set."""
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,7 +243,7 @@ def sketch_names(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return by_batch(docs.select("doc_id", "text"), make, "doc_id long, text string, hi long, lo long").select("doc_id", "text", F.xxhash64("hi", "lo").alias("cls_"))
+    return by_batch(docs.select("doc_id", "text"), make, "doc_id long, text string, hi long, lo long")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
