@@ -28,10 +28,10 @@ MINIMA, BAND_ROWS, BITS = 128, 5, 4
 BANDS = MINIMA // BAND_ROWS
 #: Least estimate that is confirmed on full sets: 4.7 standard errors of 128 minima below the threshold.
 SCREEN = 0.70
-#: Shingles of a bucket that one task holds; larger buckets are dealt to pairs of parts of half as many.
-BUCKET_SHINGLES = 4_000_000
-#: Members that are compared with the others of their bucket at once, and shingles counted at once.
-ROWS, COLUMNS = 256, 4096
+#: Shingles and members of a bucket that one task holds; larger buckets are dealt to pairs of parts of half as many.
+BUCKET_SHINGLES, BUCKET_MEMBERS = 4_000_000, 20_000
+#: Members that are compared with the others of their bucket at once, and shingles counted at once, at most; fewer where a matrix would have more cells than this.
+ROWS, COLUMNS, CELLS = 256, 4096, 4_000_000
 #: Candidate ids up to which their table is broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -106,8 +106,9 @@ def buckets_of(classes: DataFrame) -> DataFrame:
     """(bucket, side, hi, lo): classes that share a band, a bucket at a time; of buckets with the same classes one is kept. Classes of a divided bucket have side 1 or 2 where two parts of it meet, and 0 where a part is by itself."""
     rows = classes.select("hi", "lo", "n_shingles", F.explode("bands").alias("band"))
     keys = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.bit_xor(F.xxhash64("lo", "hi")).alias("s"), F.sum("n_shingles").alias("all")).filter("n > 1")
-    keys = keys.groupBy("n", "x", "s").agg(F.min("band").alias("band"), F.max("all").alias("all")).select("band", "all")
-    parts = F.when(F.col("all") > BUCKET_SHINGLES, F.ceil(2 * F.col("all") / BUCKET_SHINGLES)).otherwise(1).cast("int")
+    keys = keys.groupBy("n", "x", "s").agg(F.min("band").alias("band"), F.max("all").alias("all")).select("band", "n", "all")
+    share = F.greatest(F.col("all") / BUCKET_SHINGLES, F.col("n") / BUCKET_MEMBERS)
+    parts = F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("int")
     mine = F.pmod(F.xxhash64("hi", "lo", F.lit(1)), F.col("parts")).cast("int")
     met = rows.join(keys, "band").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
@@ -132,8 +133,9 @@ def linked(planes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     labels, out = np.arange(g), []
-    for lo in range(0, g, ROWS):
-        hi = min(lo + ROWS, g)
+    step, span = max(16, min(ROWS, CELLS // (4 * g))), max(64, min(COLUMNS, CELLS // g))
+    for lo in range(0, g, step):
+        hi = min(lo + step, g)
         good = estimates(planes[lo:hi], planes[lo:]) >= SCREEN
         good &= (side[lo:hi, None] == 0) | (side[lo:hi, None] != side[None, lo:])
         good &= (np.arange(lo, hi)[:, None] < np.arange(lo, g)[None, :]) & (labels[lo:hi, None] != labels[None, lo:])
@@ -143,10 +145,10 @@ def linked(planes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list
         common = np.zeros((rows.size, g - lo), np.float32)
         at = np.full(g, -1)
         at[rows] = np.arange(rows.size)
-        for c in range(0, shared.size, COLUMNS):
-            x, y = np.searchsorted(column, (c, c + COLUMNS))
+        for c in range(0, shared.size, span):
+            x, y = np.searchsorted(column, (c, c + span))
             who, what = owner[x:y], column[x:y] - c
-            width = min(COLUMNS, shared.size - c)
+            width = min(span, shared.size - c)
             right = np.zeros((g - lo, width), np.float32)
             right[who[who >= lo] - lo, what[who >= lo]] = 1
             common += right[rows - lo] @ right.T

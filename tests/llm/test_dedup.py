@@ -78,9 +78,17 @@ def test_estimates_are_corrected_for_chance():
 
 def test_divided_buckets_and_small_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET_SHINGLES", 8000)
+    monkeypatch.setattr(near_dedup, "CELLS", 1)
     test_near_finds_chains_and_hubs(spark)
 
 
+def test_buckets_of_many_small_sets_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_MEMBERS", 10)
+    docs = [(k, f"a b c d e f g h i j k l m n o p q r s t u v w x{k % 40} y") for k in range(80)]
+    found = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    brute.same(found.collect(), brute.near(docs))
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (3, 9), (20, 20), (9, 30), (30, 31), (31, 32)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
