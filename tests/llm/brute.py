@@ -1,6 +1,7 @@
 """Plain versions of the operators, row by row in Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join("w%d" % r.randrange(vocabulary) for _ in range(n))
+
+
 def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
 

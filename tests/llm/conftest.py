@@ -1,15 +1,9 @@
-import random
-
 import pytest
+from brute import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, score string"
 
 
-def words(n, seed, vocabulary=400):
-    r = random.Random(seed)
-    return " ".join("w%d" % r.randrange(vocabulary) for _ in range(n))
-
-
 def messy_rows():
     """Nulls in every column, empty and very long texts, ties, repeated rows and ids, and columns named like the operators' own."""
     long = words(9000, 1, 5000)

@@ -42,9 +42,7 @@ def test_near_matches_brute_force(messy, rows):
 
 
 def test_near_finds_chains_and_hubs(spark):
-    from conftest import words
-
-    base = words(400, 11, 10_000).split()
+    base = brute.words(400, 11, 10_000).split()
     docs = [(1000, " ".join(base))]
     for k in range(150):  # each near the hub, few near each other
         w = list(base)
