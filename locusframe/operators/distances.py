@@ -14,35 +14,46 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 from ..variations import Variations
 
+#: Cells of a matrix of variants, classes of calls and samples that are held at once.
+CELLS = 4_000_000
+
 
 def kosman_dist(v: Variations, min_num_snps: int | None = None) -> DataFrame:
     """(i, j, n, dist) for each pair of samples i < j, in that order of the condensed list.
 
     Per variant 1, 0.5 or 0 by the alleles that two fully called diploid samples share, averaged
     over the variants where both are called; NULL where there are none, 0 where there are fewer
-    than min_num_snps. Each task adds up its variants in two matrices (samples by samples) and
-    sends one row a pair.
+    than min_num_snps. Each task adds up its variants by products of matrices, in matrices of
+    samples by samples, and sends one row a pair.
     """
     n = v.num_samples
     if v.df.filter(F.exists("gt", lambda c: F.size(c) != 2)).limit(1).count():
         raise ValueError("the distance is for diploid samples")
 
     def run(batches):
-        dist, both = np.zeros((n, n)), np.zeros((n, n))
+        same, shared, both = (np.zeros((n, n)) for _ in range(3))
         for b in batches:
-            g = np.asarray(b.column(0).flatten().flatten().to_numpy(), np.int16).reshape(-1, n, 2)
-            for lo in range(0, len(g), 256):
-                part = g[lo : lo + 256]
+            g = np.asarray(b.column(0).flatten().flatten().to_numpy(), np.int64).reshape(-1, n, 2)
+            k = int(g.max(initial=0)) + 1
+            a, c = np.triu_indices(k)
+            # a call's class is its set of alleles; two calls share nothing, everything or something by their classes
+            number = np.zeros((k, k), np.int64)
+            number[a, c] = number[c, a] = np.arange(a.size)
+            meets = ((a[:, None] == a) | (a[:, None] == c) | (c[:, None] == a) | (c[:, None] == c)).astype(np.float32)
+            step = max(1, CELLS // (n * a.size))
+            for lo in range(0, len(g), step):
+                part = g[lo : lo + step]
                 called = (part >= 0).all(2)
-                a, c = part[:, :, None, :], part[:, None, :, :]
-                x = ((a[..., 0:1] == c).any(3)).astype(np.int8) + (a[..., 1:2] == c).any(3)
-                y = ((c[..., 0:1] == a).any(3)).astype(np.int8) + (c[..., 1:2] == a).any(3)
-                s = x + y
-                ok = called[:, :, None] & called[:, None, :]
-                dist += (np.where(s == 0, 1.0, np.where(s == 4, 0.0, 0.5)) * ok).sum(0)
-                both += ok.sum(0)
+                row, sample = np.nonzero(called)
+                one = np.zeros((len(part), a.size, n), np.float32)
+                one[row, number[part[row, sample, 0], part[row, sample, 1]], sample] = 1
+                flat = one.reshape(-1, n)
+                same += flat.T @ flat
+                shared += flat.T @ np.matmul(meets, one).reshape(-1, n)
+                both += called.T.astype(np.float32) @ called.astype(np.float32)
         i, j = np.triu_indices(n, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(dist[i, j]), pa.array(both[i, j].astype(np.int64))], ["i", "j", "d", "n"])
+        d = (both - shared + 0.5 * (shared - same))[i, j]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(d), pa.array(both[i, j].astype(np.int64))], ["i", "j", "d", "n"])
 
     sums = v.df.select("gt").mapInArrow(run, "i int, j int, d double, n long").groupBy("i", "j").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     dist = F.try_divide(F.col("d"), F.col("n").cast("double"))
