@@ -13,6 +13,11 @@ from ..functions import genotype as G
 from ..variations import Variations
 
 
+def _centred(dosages: pa.Array, n: int) -> np.ndarray:
+    x = dosages.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+    return x - x.mean(1, keepdims=True)
+
+
 def gram(v: Variations) -> DataFrame:
     """(i, j, value) for i <= j: products of samples over the variants, each variant centred over the samples. A missing call counts as -1, as in the dosages. One matrix of samples a task."""
     n = v.num_samples
@@ -20,8 +25,7 @@ def gram(v: Variations) -> DataFrame:
     def run(batches):
         total = np.zeros((n, n))
         for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
-            x -= x.mean(1, keepdims=True)
+            x = _centred(b.column(0), n)
             total += x.T @ x
         i, j = np.triu_indices(n)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "value"])
@@ -38,7 +42,7 @@ class PCA:
 
 
 def pca(v: Variations) -> PCA:
-    """projections: samples by components; princomps: (variant_idx, weights). Signs are arbitrary. The driver holds one matrix of samples by samples."""
+    """projections: samples by components; princomps: (variant_idx, weights). Signs are arbitrary. The driver holds one matrix of samples by samples, and so does each executor for princomps."""
     n = v.num_samples
     if v.num_variations < n:
         raise RuntimeError("there are fewer variants than samples")
@@ -50,12 +54,16 @@ def pca(v: Variations) -> PCA:
     values, vectors = np.clip(values[order], 0, None), vectors[:, order]
     s = np.sqrt(values)
     scaled = vectors / np.where(s > 1e-9 * max(s[0], 1e-300), s, np.inf)
-    d = F.transform(G.dosages(F.col("gt")), lambda x: x.cast("double"))
-    mean = G.real_total(d) / n
-    columns = [F.array(*[F.lit(float(x)) for x in scaled[:, k]]) for k in range(n)]
-    weights = F.array(*[F.aggregate(F.zip_with(F.col("x"), c, lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y) for c in columns])
-    centred = v.df.select("variant_idx", d.alias("d"), mean.alias("m")).select("variant_idx", F.transform("d", lambda x: x - F.col("m")).alias("x"))
-    return PCA(v.samples, vectors * s, values / values.sum() * 100 if values.sum() else values, centred.select("variant_idx", weights.alias("weights")))
+    shipped = v.df.sparkSession.sparkContext.broadcast(scaled)
+
+    def run(batches):
+        for b in batches:
+            x = _centred(b.column("d"), n) @ shipped.value
+            weights = pa.ListArray.from_arrays(np.arange(0, x.size + 1, n, dtype=np.int32), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("variant_idx"), weights], ["variant_idx", "weights"])
+
+    princomps = v.df.select("variant_idx", G.dosages(F.col("gt")).alias("d")).mapInArrow(run, "variant_idx long, weights array<double>")
+    return PCA(v.samples, vectors * s, values / values.sum() * 100 if values.sum() else values, princomps)
 
 
 def projections_table(spark, found: PCA) -> DataFrame:
