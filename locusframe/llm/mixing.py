@@ -145,10 +145,12 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int
     starts = laid.withColumn("turn", turn).select("doc_id", "source", "start", "turn")
     copies = copies.alias("c").join(starts.alias("s"), F.expr("c.doc_id <=> s.doc_id and c.source <=> s.source and c.start = s.start")).select("c.*", "s.turn")
     whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
-    rows = _sized(whole).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))))
+    # the text goes along once, in its row
+    rows = _sized(whole).select("doc_id", "source", "size", F.xxhash64("text").alias("tie"), "row")
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("tie"))).drop("tie")
     kept = rows.alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.size = c.size and d.turn = c.turn"))
     part = F.col("c.drawn") < F.col("c.size")
-    words = F.when(part, F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)))
+    words = F.when(part, F.regexp_extract_all("d.row.text", F.lit(WORD), F.lit(0)))
     taken = F.array_join(F.flatten(F.transform(F.col("c.spans"), lambda s: F.slice(F.col("all_words"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
-    out = kept.withColumn("all_words", words).withColumn("mixed", F.when(part, taken).otherwise(F.col("d.text"))).select("d.row", "mixed")
+    out = kept.withColumn("all_words", words).withColumn("mixed", F.when(part, taken).otherwise(F.col("d.row.text"))).select("d.row", "mixed")
     return out.select(*[F.col("mixed").alias(c) if c == "text" else F.length("mixed").cast(t).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c, t in docs.dtypes])
