@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import by_batch
 
 #: Remembered pre-tokens of a generation, of which there are two. Longer pre-tokens than MEMO_CHARS aren't remembered.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
 _M64 = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 
@@ -165,6 +165,13 @@ def codec_of(raw: bytes, pattern: str, displacements: list[int] | None = None) -
     return _codecs[key]
 
 
+def _forget() -> None:
+    """Memos last as long as a task."""
+    for codec in _codecs.values():
+        codec.memo.clear()
+        codec.memo.old = {}
+
+
 def _shipped(df: DataFrame, ranks_path: str, pattern: str):
     """The rank file and the perfect hash, which is found on the driver, for the executors. Both have the vocabulary's size."""
     with open(ranks_path, "rb") as f:
@@ -192,7 +199,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return run
 
     kind = dict(docs.dtypes)[id_col]
-    return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, ids binary, decoded binary")
+    return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, ids binary, decoded binary", _forget)
 
 
 def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

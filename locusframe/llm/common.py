@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import io
 import os
 import shutil
@@ -82,8 +84,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function that is made once for each task. Batches without rows are skipped."""
+def release() -> None:
+    """Gives a worker's free memory back to the system; the worker waits for its next task beside the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
+def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function that is made once for each task. Batches without rows are skipped. done is called when a task has no more rows."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +103,10 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         for b in batches:
             if b.num_rows and (out := f(b)) is not None and out.num_rows:
                 yield out
+        if done is not None:
+            done()
+        f = b = out = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -132,6 +148,8 @@ def by_group(df: DataFrame, key: str, sort: list[str], f: Callable[[pa.Table], p
                 held.append(b.slice(lo, hi - lo))
         if held and (out := f(pa.Table.from_batches(held))) is not None and out.num_rows:
             yield out
+        held, b, out = [], None, None
+        release()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, key).sortWithinPartitions(key, *sort).mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, prepare
+from .common import by_group, cut, prepare, release
 from .components import components
 
 #: Samples on a scale, classes of characters (0 is the end of the text), steps before the table of bits repeats.
@@ -186,6 +186,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     size = len(waiting[-1][1])
         if waiting:
             yield from flush(True)
+        waiting = []
+        release()
 
     prepare(docs.sparkSession)
     return rows.select("doc_id", "text", "part", "own").mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, by_batch, cut, prepare, texts_of
+from .common import broadcast_if_small, by_batch, cut, prepare, release, texts_of
 from .components import components
 from .words import Words, run_hashes, slices
 
@@ -192,6 +192,8 @@ def bucket_links(members: DataFrame) -> DataFrame:
                         held, last = [], buckets[row]
                     held.append((sides[row], reps[row], shingles(words), planes[row]))
         yield from pairs()
+        held = []
+        release()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep").select("bucket", "side", "rep", "planes", "text").mapInArrow(run, "a long, b long")
