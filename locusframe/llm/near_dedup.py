@@ -26,8 +26,8 @@ from .words import Words, run_hashes, slices
 SHINGLE, SIMILARITY = 5, 85  # words; percent of the union
 MINIMA, BAND_ROWS, BITS = 128, 5, 4
 BANDS = MINIMA // BAND_ROWS
-#: Least estimate that is confirmed on full sets: 4.7 standard errors of 128 minima below the threshold.
-SCREEN = 0.70
+#: Least estimate that is confirmed on full sets: a pair at the threshold is below it with a probability of 2e-8.
+SCREEN = 0.65
 #: Shingles and members of a bucket that one task holds; larger buckets are dealt to pairs of parts of half as many.
 BUCKET_SHINGLES, BUCKET_MEMBERS = 4_000_000, 20_000
 #: Members that are compared with the others of their bucket at once, and shingles counted at once, at most; fewer where a matrix would have more cells than this.
