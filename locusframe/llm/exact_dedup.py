@@ -32,7 +32,8 @@ def _first(norm, block_bytes):
 
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct contents with an integer for each: the place in the sorted partition, below the partition's number. A global sort would send samples of whole blocks to the driver."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+    # as a table of its own, so that the join to it shuffles both sides and a hot content can be split among tasks
+    return cut(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "named")
 
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
