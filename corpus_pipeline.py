@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from locusframe.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality
 from locusframe.llm.common import cut, table
 
+#: Percent of the union of two documents' shingles from which they are near copies; the query op3_near_dedup has its own.
+SIMILARITY = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it is fitted on the labelled rows of the table documents."""
@@ -20,7 +23,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one_of_each(docs)
+    return near_dedup.keep_one_of_each(docs, SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
