@@ -1,13 +1,17 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates.
 
 A text's words are streamed through the automaton, which gives for each word the longest run
-that ends there and stands in a template (matching statistics). Long matches are chained along
-their template into spans; a span that covers enough of its template gives the template's label.
+that ends there and stands in a template (matching statistics); the suffix links of its state give
+the runs that end there and stand in other templates. Each template's own matches, as long as they
+get in it, are chained along it into spans; a span that covers enough of its template gives the
+template's label. A span in parts that all lie inside longer matches of other labels' spans is
+dropped, as "licensed under the" of one licence inside the notice of another.
 The base phrases are templates too, so their places come from the same stream.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import pairwise
 
 import numpy as np
@@ -108,11 +112,19 @@ class Scanner:
         self.automaton = a = Automaton()
         for number, s in enumerate([*self.sequences, *asked]):
             a.add(s, number)
-        # where a template's factors of a length stand, for the start of matches
-        self.where: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        # for each state, the places in templates where its factors or suffixes of them end: (template, place, longest of them)
+        longest: list[dict[tuple[int, int], int]] = [{} for _ in a.size]
         for number, s in enumerate(self.sequences):
-            for i in range(len(s) - min_match + 1):
-                self.where.setdefault(tuple(s[i : i + min_match]), []).append((number, i))
+            state = 0
+            for place, c in enumerate(s, 1):
+                up = state = a.move[state][c]
+                while up > 0:
+                    longest[up][number, place] = a.size[up]
+                    up = a.link[up]
+        self.stands: list[list[tuple[int, int, int]]] = [[] for _ in a.size]
+        for s in sorted(range(1, len(a.size)), key=a.size.__getitem__):
+            longest[s] = {**longest[a.link[s]], **longest[s]}
+            self.stands[s] = [(*where, n) for where, n in longest[s].items() if n >= min_match]
         below: list[list[int]] = [[] for _ in a.size]
         for s, link in enumerate(a.link):
             if link >= 0:
@@ -163,38 +175,73 @@ class Scanner:
                 for k, n in self.ends[state]:
                     if length >= n:
                         places.append((first + i + 1 - n, k))
-                # a match that the next word doesn't lengthen
-                if length >= self.min_match and (i + 1 == len(found) or found[i + 1][1] <= length):
-                    start = i + 1 - length
-                    part = run[start : i + 1]
-                    for number, at in self.where.get(tuple(part[: self.min_match]), ()):
-                        if self.sequences[number][at : at + length] == part:
-                            matches.append((number, first + start, at, length))
+                if length < self.min_match:
+                    continue
+                # matches that the next word doesn't lengthen within their template
+                for number, end, longest in self.stands[state]:
+                    s = self.sequences[number]
+                    if end == len(s) or i + 1 == len(run) or s[end] != run[i + 1]:
+                        n = min(length, longest)
+                        matches.append((number, first + i + 1 - n, end - n, n))
         return len(words), sorted(places), self._chained(matches)
 
     def _chained(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Matches of one template that follow each other in the text and in it, with few words between, make a span."""
-        spans, chains = [], {}
-
-        def close(number: int) -> None:
-            start, end, _, covered = chains.pop(number)
-            if (share := covered / len(self.sequences[number])) >= self.min_cover:
-                spans.append((start, end, number, min(1.0, share)))
-
-        for number, at, inside, length in sorted(set(matches), key=lambda m: (m[1], m[0], m[2])):
-            if number in chains:
-                start, end, done, covered = chains[number]
+        """Matches of one template that follow each other in the text and in it, with few words between, make a span: those that cover most of it."""
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for number, *m in sorted(set(matches), key=lambda m: (m[1], m[2], m[3])):
+            by.setdefault(number, []).append(tuple(m))
+        found = []  # (start, end, template, words covered, matches)
+        for number, ms in by.items():
+            size = len(self.sequences[number])
+            while ms:
+                taken = self._best(ms, size)
+                found += [(start, end, number, covered, parts) for start, end, covered, parts in taken]
+                starts, ends = [s for s, *_ in taken], [e for _, e, *_ in taken]
+                # in gaps between the spans there may be others; where none was found, none is left
+                ms = [m for m in ms if (k := bisect_left(ends, m[0] + 1)) == len(ends) or starts[k] >= m[0] + m[2]] if taken else []
+        # spans of other labels whose matches have a part in them
+        found.sort(key=lambda s: s[:3])
+        wide = sorted((at, at + n, self.labels[number]) for _, _, number, _, parts in found for at, _, n in parts)
+        firsts, most = [w[0] for w in wide], max((e - s for s, e, _ in wide), default=0)
+
+        def inside(at: int, n: int, label: str) -> bool:
+            near = wide[bisect_left(firsts, at + n - most) : bisect_left(firsts, at + 1)]
+            return any(e >= at + n and e - s > n and other != label for s, e, other in near)
+
+        spans = []
+        for start, end, number, covered, parts in found:
+            size = len(self.sequences[number])
+            if parts[0][2] == size or not all(inside(at, n, self.labels[number]) for at, _, n in parts):
+                spans.append((start, end, number, min(1.0, covered / size)))
+        return spans
+
+    def _best(self, ms: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
+        """(start, end, words covered, matches) of chains that cover enough of a template of a size, apart in the text, from its matches sorted by their place in it."""
+        best: list[tuple[int, int, int]] = []  # words covered up to a match, start of the chain, match before
+        low = 0
+        for j, (at, inside, length) in enumerate(ms):
+            while ms[low][0] + size + self.max_gap < at:
+                low += 1
+            top = (length, at, -1)
+            for i in range(low, j):
+                end, done = ms[i][0] + ms[i][2], ms[i][1] + ms[i][2]
                 if at - end <= self.max_gap and inside + length > done and at + length > end:
                     skip = max(0, end - at, done - inside)
-                    chains[number] = (start, at + length, inside + length, covered + max(0, length - skip))
-                    continue
-                if at + length <= end:
-                    continue
-                close(number)
-            chains[number] = (at, at + length, inside + length, length)
-        for number in list(chains):
-            close(number)
-        return sorted(spans)
+                    top = max(top, (best[i][0] + max(0, length - skip), best[i][1], i))
+            best.append(top)
+        taken, ends = [], []
+        for j in sorted((j for j, b in enumerate(best) if b[0] / size >= self.min_cover), key=lambda j: (-best[j][0], ms[j][0] + ms[j][2] - best[j][1], best[j][1])):
+            start, end = best[j][1], ms[j][0] + ms[j][2]
+            k = bisect_left(ends, start + 1)
+            if k < len(ends) and taken[k][0] < end:
+                continue
+            parts, i = [], j
+            while i >= 0:
+                parts.append(ms[i])
+                i = best[i][2]
+            ends.insert(k, end)
+            taken.insert(k, (start, end, best[j][0], parts[::-1]))
+        return taken
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
