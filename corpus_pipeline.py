@@ -31,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's columns, with its ids (little-endian unsigned 32-bit integers) and their number in place of the text."""
-    return byte_bpe.encoded_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Each document's columns, with its ids (little-endian unsigned 32-bit integers) and their number in place of the text, and the digest of what they decode to."""
+    return byte_bpe.encoded_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
 
 
 STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]

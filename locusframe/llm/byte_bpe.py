@@ -195,10 +195,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return by_batch(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs with ids and n_tokens in place of the text, the other columns as they are; rows as in encode."""
+def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """docs with ids and n_tokens in place of the text, the other columns as they are; rows as in encode. decoded adds decoded_sha256, the digest of the bytes that the ids decode to."""
     shipped = _shipped(docs, ranks_path, pattern)
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    new = {"ids": "binary", "n_tokens": "long", **({"decoded_sha256": "string"} if decoded else {})}
+    rest = [c for c in docs.columns if c != "text" and c not in new]
 
     def make():
         raw, displacements = shipped.value
@@ -206,12 +207,15 @@ def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*rest, "ids", "n_tokens"])
+            made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded:
+                made.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()))
+            return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], [*rest, *new])
 
         return run
 
     kinds = dict(docs.dtypes)
-    return by_batch(docs.select(*rest, "text"), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "ids binary", "n_tokens long"]))
+    return by_batch(docs.select(*rest, "text"), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"{c} {kind}" for c, kind in new.items())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
