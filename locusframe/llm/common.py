@@ -41,16 +41,21 @@ def prepare(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    path = os.path.join(tempfile.mkdtemp(prefix="locusframe-"), "locusframe_src.zip")
+    own = tempfile.mkdtemp(prefix="locusframe-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = os.path.join(own, "locusframe_src.zip")
     Path(path).write_bytes(packed.getvalue())
     sc.addPyFile(path)
     sc._locusframe_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_locusframe_folder", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         own = tempfile.mkdtemp(prefix="locusframe-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = spark.sparkContext._locusframe_folder = "file://" + own
@@ -75,13 +80,59 @@ def clean() -> None:
             return
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when the process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/locusframe/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """A small text file that write_note has written, None where there is none."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small text file by a rename, so that a reader never sees half of it."""
+    jvm = spark.sparkContext._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(draft, target)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lost executors lose nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/locusframe/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = own_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._locusframe_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that cut has written, once all that read them is written itself."""
+    for t in tables:
+        entry = (t.sparkSession, t._locusframe_path)
+        if entry in _written:
+            _written.remove(entry)
+            _remove(*entry)
+
+
+def fresh(name: str, taken) -> str:
+    """name, with underscores behind it until no column of taken has it; upper and lower case are the same to Spark."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def release() -> None:

@@ -15,7 +15,6 @@ CHUNK = 1 << 20
 _rng = np.random.default_rng(19)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[SPACE] = 0
-_PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -24,6 +23,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _weight(place: np.ndarray) -> np.ndarray:
+    """An odd number for each place in a word, however far: places don't repeat."""
+    return mix64((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+#: The weights of the first places, which nearly all bytes have.
+_PLACE = _weight(np.arange(256))
+
+
+def _weights(place: np.ndarray) -> np.ndarray:
+    out = _PLACE[np.minimum(place, _PLACE.size - 1)]
+    if (far := np.flatnonzero(place >= _PLACE.size)).size:
+        out[far] = _weight(place[far])
+    return out
+
+
 def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a buffer of bytes."""
     inside = np.zeros(data.size + 2, np.int8)
@@ -42,7 +57,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         at = starts[lo:hi] - a
         sizes = np.diff(np.append(at, b - a))
         place = np.arange(b - a) - np.repeat(at, sizes)
-        h = np.add.reduceat(_BYTE[data[a:b]] * _PLACE[place & 4095], at)
+        h = np.add.reduceat(_BYTE[data[a:b]] * _weights(place), at)
         out[lo:hi] = mix64(h + (ends[lo:hi] - starts[lo:hi]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         lo = hi
     return out

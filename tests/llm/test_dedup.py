@@ -108,10 +108,63 @@ def test_substring_empty(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_index_compacts_its_runs(messy, rows):
-    known = messy.filter("doc_id is not null").select("doc_id", "text").withColumn("fp", F.hash("text"))
-    index = substring_dedup.FingerprintIndex(most_runs=2)
+def test_index_lasts_and_compacts_its_runs(spark, messy, rows, tmp_path):
+    known = substring_dedup.keyed(messy).filter("doc_id is not null")
+    folder, gone = f"file://{tmp_path}/index", []
     for lo in range(0, 30, 6):
-        index.ingest(known.filter(F.col("doc_id").between(lo, lo + 5)), known.filter(F.col("doc_id") <= lo + 5))
-    assert len(index.runs) <= 2
-    assert index.runs[0].groupBy("h", "ctx").count().filter("count > 1").count() == 0
+        # another job that opens what is there
+        index = substring_dedup.FingerprintIndex(spark, folder, buckets=5, most_runs=2)
+        gone.append(index.ingest(known.filter(F.col("doc_id").between(lo, lo + 5)), known.filter(F.col("doc_id") <= lo + 5)))
+        for name, _ in index.runs:
+            spark.sql(f"DROP TABLE {name}")
+    again = substring_dedup.FingerprintIndex(spark, folder)
+    assert again.buckets == 5 and len(again.runs) <= 3
+    again.compact()
+    assert len(again.runs) == 1 and again.tables[0].groupBy("h", "ctx").count().filter("count > 1").count() == 0
+    union = gone[0]
+    for g in gone[1:]:
+        union = union.unionByName(g)
+    brute.same(substring_dedup.report(substring_dedup.without(substring_dedup.keyed(messy), union)).collect(), brute.windows(pairs(rows)))
+
+
+def test_runs_meet_without_a_shuffle(spark, messy):
+    index = substring_dedup.FingerprintIndex(spark, most_runs=5)
+    known = substring_dedup.keyed(messy).filter("doc_id is not null")
+    for lo in (0, 10):
+        index.ingest(known.filter(F.col("doc_id").between(lo, lo + 9)), known.filter(F.col("doc_id") <= lo + 9))
+    both = substring_dedup._merged(index.tables, ["h", "part", "ctx"])
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_anchors_and_entries_are_dealt_apart(monkeypatch, messy, rows):
+    monkeypatch.setattr(substring_dedup, "LAYOUT_SHARE", 1.0)
+    monkeypatch.setattr(substring_dedup, "LAYOUT_ROWS", 1)
+    monkeypatch.setattr(substring_dedup, "_hot", lambda prints, keys, counted: [tuple(r) for r in prints.groupBy(*keys).agg(counted.alias("k")).filter("k > 1").select(*keys).collect()])
+    found = substring_dedup.substring_dedup(messy, batches=3)
+    brute.same(substring_dedup.report(found).collect(), brute.windows(pairs(rows)))
+
+
+def test_claims_are_verified_by_words():
+    words = [b"w%d" % i for i in range(60)]
+    claim = {"start": 3, "n": 2, "m": 2, "words": b" ".join(words[3:54])}
+    assert substring_dedup.holds(words, claim) and not substring_dedup.holds([*words[:40], b"other", *words[41:]], claim)
+    same = [b"the"] * 60
+    row = {"start": 0, "n": 11, "m": 1, "words": b" ".join(same[:50])}
+    assert substring_dedup.holds(same, row) and not substring_dedup.holds([*same[:55], b"end", *same[56:]], row)
+
+
+def long_words():
+    """Words of more than 4,096 bytes that differ by a swap of bytes 4,096 apart."""
+    a, b = bytearray(b"m" * 9000), bytearray(b"m" * 9000)
+    a[10], a[10 + 4096] = ord("x"), ord("y")
+    b[10], b[10 + 4096] = ord("y"), ord("x")
+    return a.decode(), b.decode()
+
+
+def test_long_words_are_told_apart(spark):
+    x, y = long_words()
+    w = brute.words(60, 12).split()
+    docs = [(1, " ".join([*w[:30], x, *w[30:]])), (2, " ".join([*w[:30], y, *w[30:]])), (3, x), (4, y), (5, " ".join([*w[:30], y, *w[30:]]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    brute.same(near_dedup.near_dedup(df).collect(), brute.near(docs))
+    brute.same(substring_dedup.report(substring_dedup.substring_dedup(df)).collect(), brute.windows(docs))
