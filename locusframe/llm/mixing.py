@@ -1,32 +1,40 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Each source's documents are laid end to end, in an order that a hash of the id gives, and cut
-into blocks of a fixed number of words. The output is a row of slots, dealt to shards. Which
-source a slot draws from is a multinomial draw conditioned on its totals: slots are laid out by
-source and dealt to shards by hash, so a shard's counts vary and a source's do not. The t-th
-slot of a source takes block a * t + c modulo its number of blocks, a permutation, as a has no
-factor in common with that number; a second round follows when the first has used all blocks.
+into blocks of a fixed number of words. The output is shards of a fixed number of slots. Each
+shard draws its sources independently, in proportion to the targets, so its counts are
+multinomial; the totals of these draws are then corrected: draws beyond a source's total go to the
+sources that are short, in a few of the last shards. The slots of a source are numbered over the
+shards, and slot t takes the block to which a pseudorandom permutation, with keys of the
+source's own, sends t modulo the number of blocks; a second round follows when the first has used
+all blocks. Blocks and documents are joined by the block's index.
+
+The permutation is a swap-or-not shuffle: in each round a block may change places with its mirror
+image about the round's key, as a bit says that both places share. It maps 0 .. n - 1 onto itself
+for every n. All random numbers are integer arithmetic modulo a prime, so SQL can repeat them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 #: Fixed values of the contract: weights by rank of the source, the share of all words, the most that a source is repeated.
 WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2.0
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1024, 20
-#: Buckets of a source's documents in the two-step running sum.
+#: Buckets of a source's documents, and shards of a bucket, in two-step running sums.
 BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
-#: Candidates for the permutation's step: the first that shares no factor with the number of blocks is used. Each prime rules out multiples of itself only, and a number under 2**63 has fewer than 16 prime factors.
-STEPS = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171, 1000183, 1000187, 1000193, 1000199)
+#: Modulus, factors and rounds of the random numbers.
+PRIME, FACTOR, FACTOR2, ROUNDS = 2**31 - 1, 48271, 69621, 16
+#: Rows of a table of sources up to which it is broadcast: 40 bytes each. Bins by which a draw finds its source, at least.
+BROADCAST_SOURCES, BINS = 100_000, 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size).
+    """(k, source, source_size, target) from (source, source_size); k numbers the sources from 0.
 
     Sources by code point, null last, take the weights in turn. Together they get share of all
     words; no target is above most times its source, and what is above goes to the others by
@@ -41,11 +49,11 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at % len(weights) + 1).cast("int"))
     level = (F.lit(share) * F.col("all") - F.col("full_before")) / F.nullif(F.col("w_all") - F.col("w_before"), F.lit(0.0))
     return (
-        sizes.withColumn("w", weight).withColumn("limit", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("limit") / F.col("w"))
+        sizes.withColumn("k", at.cast("long")).withColumn("w", weight).withColumn("limit", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("limit") / F.col("w"))
         .withColumns({"all": F.sum("source_size").over(everything), "w_all": F.sum("w").over(everything), "full_before": F.coalesce(F.sum("limit").over(before), F.lit(0.0)), "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0))})
         .withColumn("level", level)
         .withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
-        .select("source", "source_size", F.least("limit", F.coalesce(F.col("water"), F.col("ratio")) * F.col("w")).alias("target"))
+        .select("k", "source", "source_size", F.least("limit", F.coalesce(F.col("water"), F.col("ratio")) * F.col("w")).alias("target"))
     )
 
 
@@ -55,7 +63,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
     Running sums go in two steps, over the buckets of a source and inside a bucket, so that a
     source with most of the rows is spread over many tasks.
     """
-    spread = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BUCKETS)))
+    spread = docs.withColumn("bucket", _digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("n"))) % BUCKETS)
     buckets = spread.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
@@ -64,76 +72,159 @@ def laid_out(docs: DataFrame) -> DataFrame:
     return local.alias("a").join(buckets.alias("b"), F.expr("a.source <=> b.source and a.bucket = b.bucket")).select("a.doc_id", "a.source", "a.size", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def _permutation(n):
-    """step and shift of the source's permutation of 0 .. n - 1."""
-    step = F.coalesce(*[F.when(n % p != 0, F.lit(p).cast("long")) for p in STEPS], F.lit(1).cast("long"))
-    return {"step": step, "shift": F.pmod(F.xxhash64(F.lit(SEED + 1), "source"), n)}
+def _digest(text: Column) -> Column:
+    """28 bits of a text."""
+    return F.conv(F.substring(F.md5(F.concat(text, F.lit(f"#{SEED}"))), 1, 7), 16, 10).cast("long")
+
+
+def _linear(x: Column, key: Column) -> Column:
+    """0 .. PRIME - 1, from x of 0 or more; numbers beyond the prime don't start anew."""
+    return ((x % PRIME) * FACTOR + F.floor(x / PRIME) * FACTOR2 + key) % PRIME
+
+
+def _uniform(df: DataFrame, x: str, n: int) -> DataFrame:
+    """df with u, a random number of 0 .. n - 1 for each x: two residues, each squared twice."""
+    for side, key in (("p", SEED), ("q", SEED + 1)):
+        df = df.withColumn(side, _linear(F.col(x), F.lit(key * 7919)))
+        for step in range(2):
+            df = df.withColumn(side, (F.col(side) * F.col(side) + (step + 1) * key) % PRIME)
+    return df.withColumn("u", (F.col("p") * PRIME + F.col("q")) % n).drop("p", "q")
+
+
+def permuted(x: Column, n: Column, seed: Column) -> Column:
+    """Where the permutation of 0 .. n - 1 sends x."""
+
+    def swapped(at: Column, r: Column) -> Column:
+        key = (seed * (r + 2) * 104729 + r * 15485863) % PRIME
+        mirror = F.pmod(key * FACTOR2 + r - at, n)
+        y = _linear(F.greatest(at, mirror), key)
+        return F.when((y * y) % PRIME % 2 == 1, mirror).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)).cast("array<bigint>"), x, swapped)
+
+
+def _running(counts: DataFrame) -> DataFrame:
+    """counts(k, shard, n) with before, the sum of n over the source's earlier shards; in two steps, so that no task has all shards of a source."""
+    spread = counts.withColumn("bucket", F.expr(f"shard div {BUCKETS}"))
+    first = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = spread.groupBy("k", "bucket").agg(F.sum("n").alias("all")).select("k", "bucket", F.coalesce(F.sum("all").over(first), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("k", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    local = spread.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return local.join(base, ["k", "bucket"]).select("k", "shard", "n", (F.col("base") + F.col("inside")).alias("before"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return broadcast_if_small(df, df.count(), BROADCAST_SOURCES)
+
+
+def slot_totals(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(k, source, blocks, slots): by the mean words of a block, as the last one of a source is short."""
+    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
+    return targets.filter("source_size > 0").withColumn("blocks", blocks).select("k", "source", "blocks", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long").alias("slots"))
+
+
+def shard_counts(totals: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(k, shard, n): slots of each source in each shard. Each slot draws a source by its share of all slots; then each source has its total."""
+    spark = totals.sparkSession
+    all_slots, sources = totals.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    if not all_slots:
+        return totals.select("k", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("n")).limit(0)
+    bins = max(BINS, sources)
+    upto = F.sum("slots").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    shares = totals.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("slots")).filter("slots > 0")
+    by_bin = shares.select("k", "lo", "hi", F.explode(F.expr(f"sequence(lo * {bins} div {all_slots}, (hi - 1) * {bins} div {all_slots})")).alias("bin"))
+    draws = _uniform(spark.range(all_slots), "id", all_slots).select(F.expr(f"id div {shard_slots}").alias("shard"), "u", F.expr(f"u * {bins} div {all_slots}").alias("bin"))
+    drawn = cut(draws.join(_small(by_bin), "bin").filter("u >= lo and u < hi").groupBy("k", "shard").agg(F.count("*").alias("n")), "draws")
+    # what a source draws beyond its total goes to those that are short, unit by unit: about the square root of all slots
+    least = F.least(F.col("n"), F.greatest(F.col("slots") - F.col("before"), F.lit(0)))
+    checked = _running(drawn).join(_small(totals.select("k", "slots")), "k").withColumn("kept", least)
+    over = checked.filter("n > kept").select("k", "shard", (F.col("n") - F.col("kept")).alias("n"))
+    short = totals.join(drawn.groupBy("k").agg(F.sum("n").alias("drawn")), "k", "left").select("k", F.lit(0).alias("shard"), (F.col("slots") - F.coalesce("drawn", F.lit(0))).alias("n")).filter("n > 0")
+    order = Window.orderBy("k", "shard").rowsBetween(Window.unboundedPreceding, 0)
+    units = lambda df: df.withColumn("hi", F.sum("n").over(order)).withColumn("unit", F.explode(F.expr("sequence(hi - n, hi - 1)")))
+    filled = units(over).select("unit", "shard").join(units(short).select("unit", "k"), "unit").groupBy("k", "shard").agg(F.count("*").alias("n"))
+    return checked.filter("kept > 0").select("k", "shard", F.col("kept").alias("n")).unionByName(filled).groupBy("k", "shard").agg(F.sum("n").alias("n"))
 
 
 def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(source, slot, shard, block, round): one row for each slot of the output."""
-    n = F.col("blocks")
-    sized = (
-        targets.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-        # by the mean words of a block, as the last one of a source is short
-        .withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
-        .withColumns(_permutation(n))
-    )
-    total = F.coalesce(F.sum("slots").over(Window.partitionBy()), F.lit(0))
-    chunks = sized.withColumn("all_slots", total).withColumn("chunk", F.explode(F.expr("if(slots > 0, sequence(0L, (slots - 1) div 65536L), array())")))
-    # a source's slots are made by many tasks: a chunk each
-    slots = chunks.repartition(F.col("source"), F.col("chunk")).withColumn("slot", F.explode(F.expr("sequence(chunk * 65536L, least(slots, (chunk + 1) * 65536L) - 1)")))
-    shards = F.greatest(F.ceil(F.col("all_slots") / shard_slots), F.lit(1))
-    return slots.select(
-        "source", "slot", F.pmod(F.xxhash64(F.lit(SEED + 2), "source", "slot"), shards).alias("shard"),
-        F.expr("cast((cast(slot % blocks as decimal(20, 0)) * step + shift) % blocks as long)").alias("block"), F.expr("slot div blocks").alias("round"),
-    )
+    """(k, source, slot, shard, block, round): one row for each slot of the output, from targets(k, source, source_size, target)."""
+    totals = slot_totals(targets, block_words)
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = _running(cut(shard_counts(totals, shard_slots), "counts"))
+    seed = _digest(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
+    # shards are dealt to a stated number of tasks, as their counts are few bytes and what they make is not
+    dealt = numbered.repartition(parts, "shard").join(_small(totals.select("k", "source", "blocks", seed.alias("seed"))), "k")
+    slots = dealt.withColumn("slot", F.explode(F.expr("sequence(before, before + n - 1)")))
+    return slots.select("k", "source", "slot", "shard", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("seed")).alias("block"), F.expr("slot div blocks").alias("round"))
+
+
+def pieces_of(laid: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """laid with a row for each block that a document has words in: lo to hi are its words there."""
+    pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
+    return pieces.withColumns({"lo": F.expr(f"greatest(block * {block_words}, start) - start"), "hi": F.expr(f"least((block + 1) * {block_words}, start + size) - start")})
 
 
 def taken_spans(laid: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, start, block, times, lo, hi): words lo to hi of a document lie in a block that was drawn so many times."""
+    """(doc_id, source, k, size, start, block, times, shard, lo, hi): words lo to hi of a document lie in a block that was drawn so many times, first for this shard."""
     # a table of generated slots looks small to the planner; it is as large as the blocks, so it must not be broadcast
-    drawn = slots.groupBy("source", "block").agg(F.count("*").alias("times")).hint("merge")
-    pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
-    return (
-        pieces.alias("a").join(drawn.alias("b"), F.expr("a.source <=> b.source and a.block = b.block"))
-        .select("a.*", "times", F.expr(f"greatest(a.block * {block_words}, start) - start").alias("lo"), F.expr(f"least((a.block + 1) * {block_words}, start + size) - start").alias("hi"))
-    )
+    drawn = slots.groupBy("k", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard")).hint("merge")
+    return pieces_of(laid, block_words).join(drawn, ["k", "block"])
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents laid out, targets, slots) for docs(doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(documents laid out, slots) for docs(doc_id, text, source): (doc_id, source, k, source_size, target, size, start), and draw_slots.
 
-    A null text has no words and is never taken. Null is a source of its own. Rows that repeat
-    an id and a size take their turn one after the other. An empty table gives empty tables.
+    A null text has no words and is never taken; texts of any length are laid out whole. Null is a
+    source of its own. Rows that repeat an id and a size take their turn one after the other. An
+    empty table gives empty tables; other columns are not looked at.
     """
     sized = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"), "sizes")
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
-    return cut(laid_out(sized), "laid"), targets, draw_slots(targets, block_words)
+    placed = laid_out(sized).alias("a").join(_small(targets).alias("t"), F.expr("a.source <=> t.source")).select("a.*", "t.k", "t.source_size", "t.target")
+    return cut(placed, "laid"), draw_slots(targets, block_words, shard_slots)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs; rows with the same id have their words added."""
-    laid, targets, slots = mix(docs)
-    taken = taken_spans(laid, slots).groupBy("doc_id", "source", "start").agg(F.sum(F.expr("times * (hi - lo)")).alias("taken"))
+    """(doc_id, size, source_size, target, taken, first_shard) for each row of docs: first_shard is the first shard that has words of it, null where none has. Nulls, repeats and empty tables as in mix."""
+    laid, slots = mix(docs)
+    taken = taken_spans(laid, slots).groupBy("doc_id", "k", "start").agg(F.sum(F.expr("times * (hi - lo)")).alias("taken"), F.min("shard").alias("first_shard"))
     return (
-        laid.alias("a").join(targets.alias("t"), F.expr("a.source <=> t.source"))
-        .join(taken.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.source <=> b.source and a.start = b.start and a.size > 0"), "left")
-        .select("a.doc_id", "a.size", "t.source_size", "t.target", F.coalesce("b.taken", F.lit(0)).cast("long").alias("taken"))
+        laid.alias("a").join(taken.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.k = b.k and a.start = b.start and a.size > 0"), "left")
+        .select("a.doc_id", "a.size", "a.source_size", "a.target", F.coalesce("b.taken", F.lit(0)).cast("long").alias("taken"), "b.first_shard")
     )
 
 
+def mixed_shards(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, place, doc_id, source, text): the mix itself, each shard's slots in a random order, as the words that documents have in the drawn blocks, joined by one space. A shard's rows lie in one partition, in order. place numbers the slots by a hash; rows of one slot follow each other."""
+    laid, slots = mix(docs, weights, block_words, shard_slots)
+    drawn = slots.select("k", "block", "shard", F.xxhash64(F.lit(SEED), "k", "slot").alias("place")).hint("merge")
+    spans = pieces_of(laid, block_words).join(drawn, ["k", "block"]).groupBy("doc_id", "source", "size", "start").agg(F.collect_list(F.struct("shard", "place", "lo", "hi", F.col("start").alias("at"))).alias("spans"))
+    rows = _turns(_sized(docs.select("doc_id", "source", "text")).withColumn("tie", F.xxhash64("text")), "tie").drop("tie")
+    met = rows.alias("d").join(_turns(spans, "start").alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.size = c.size and d.turn = c.turn"))
+    words = met.select("d.doc_id", "d.source", "c.spans", F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)).alias("words"))
+    cutout = F.transform("spans", lambda s: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), s["at"].alias("at"), F.array_join(F.slice("words", (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")), " ").alias("text")))
+    out = words.select("doc_id", "source", F.explode(cutout).alias("p")).select("p.shard", "p.place", "p.at", "doc_id", "source", "p.text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(parts, "shard").sortWithinPartitions("shard", "place", "at").drop("at")
+
+
+def _turns(df: DataFrame, order: str) -> DataFrame:
+    """df with turn: rows that repeat an id, a source and a size are told apart by their order."""
+    return df.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(order)))
+
+
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the mix in effect, the same columns: a row for the words of a document drawn at least once, one for those drawn at least twice.
 
     A text of which all words are drawn stays as it is; of others the drawn words are kept, joined
     by one space, and n_chars, where there is such a column, follows. Documents of which nothing is drawn go, empty texts too.
+    Nulls, repeats and empty tables as in mix; mixed_shards gives the mix in the order of its shards.
     """
-    laid, _, slots = mix(docs, weights, block_words)
+    laid, slots = mix(docs, weights, block_words)
     spans = taken_spans(laid, slots, block_words)
     copies = (
         spans.withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
@@ -141,13 +232,12 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int
         .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.expr("hi - lo")).alias("drawn"))
     )
     # rows that repeat an id are told apart by their order among equals, as in laid_out
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("start"))
-    starts = laid.withColumn("turn", turn).select("doc_id", "source", "start", "turn")
+    starts = _turns(laid, "start").select("doc_id", "source", "start", "turn")
     copies = copies.alias("c").join(starts.alias("s"), F.expr("c.doc_id <=> s.doc_id and c.source <=> s.source and c.start = s.start")).select("c.*", "s.turn")
     whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
     # the text goes along once, in its row
     rows = _sized(whole).select("doc_id", "source", "size", F.xxhash64("text").alias("tie"), "row")
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("tie"))).drop("tie")
+    rows = _turns(rows, "tie").drop("tie")
     kept = rows.alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.size = c.size and d.turn = c.turn"))
     part = F.col("c.drawn") < F.col("c.size")
     words = F.when(part, F.regexp_extract_all("d.row.text", F.lit(WORD), F.lit(0)))

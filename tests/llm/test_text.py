@@ -166,7 +166,7 @@ def test_lattice_sums_over_all_segmentations():
 
     lattice = lattice_lm.Lattice(pieces)
     words = [b"abc", b"a", b"abcbc", b"ca"]
-    assert np.allclose(np.exp(lattice.score(words, weights)), [ways(b" " + w) for w in words])
+    assert np.allclose(np.exp(lattice.score(words, weights)[0]), [ways(b" " + w) for w in words])
     expected = np.zeros(len(pieces))
     for w in words:
         every = uses(b" " + w)
@@ -178,10 +178,53 @@ def test_lattice_sums_over_all_segmentations():
     assert np.allclose(got, expected)
 
 
+def test_long_words_are_read_through_a_window(monkeypatch):
+    rng = np.random.default_rng(4)
+    lattice = lattice_lm.Lattice(lattice_lm.read_pieces(VOCABULARY))
+    weights = lattice_lm.first_weights(lattice.order.size)
+    words = [bytes(rng.choice(list(b"abcdetion"), n).astype(np.uint8)) for n in (40, 97, 333)]
+    whole, expected = lattice.score(words, weights)[0], sum(lattice.expected(lattice.arcs(m), weights, np.ones(len(m))) for _, m in lattice.batches(words))
+    monkeypatch.setattr(lattice_lm, "LONG", 32)
+    assert np.allclose(lattice.score(words, weights)[0], whole)
+    assert np.allclose(sum(lattice.long_expected(b" " + w, weights) for w in words), expected)
+
+
+def test_lm_document_scores_match_brute_force(messy, rows):
+    """Every segmentation of every word of a text, by a plain recursion over its pieces."""
+    pieces = lattice_lm.read_pieces(VOCABULARY)
+    logs = dict(zip(pieces, lattice_lm.first_weights(len(pieces))))
+    train = [t or "" for i, t, *_ in rows if brute.fold(i, 5) != 1]
+    used = sum(len(lattice_lm.words_of(t.encode())) for t in train)
+    p_end = (len(train) + 0.5) / (used + len(train) + 1)
+
+    def word(w):
+        w, sums = b" " + w, [1.0]
+        for e in range(1, len(w) + 1):
+            sums.append(sum(sums[s] * np.exp(logs[w[s:e]]) for s in range(max(0, e - 30), e) if w[s:e] in logs))
+        return np.log(sums[-1]) + np.log(1 - p_end)
+
+    found = sorted((brute.key((r.doc_id, r.n_tokens)), r.score) for r in lattice_lm.lm_score(messy, VOCABULARY).collect())
+    short = [(i, t or "") for i, t, *_ in rows]
+    expected = sorted((brute.key((i, len(w) + 1)), (sum(map(word, w)) + np.log(p_end)) / np.log(10)) for i, t in short for w in [lattice_lm.words_of(t.encode())] if not w or max(map(len, w)) < 200)
+    keys = {k for k, _ in expected}
+    got = [f for f in found if f[0] in keys]
+    assert [k for k, _ in got] == [k for k, _ in expected] and np.allclose([s for _, s in got], [s for _, s in expected])
+
+
+def test_lm_tells_long_words_apart(spark):
+    from test_dedup import long_words
+
+    x, y = long_words()
+    docs = [(k, t) for k, t in enumerate(["a " + x, "a b", "b a", "c " + y, "b c", "c " + x, "a " + y])]
+    found = lattice_lm.lm_score(spark.createDataFrame(docs, "doc_id long, text string"), VOCABULARY).collect()
+    strip = lambda r: (*r[:5], round(r[5], 6))
+    brute.same([strip(tuple(r)) for r in found], [strip(r) for r in brute.base_scores(docs)])
+
+
 def test_lm_scores_do_not_depend_on_the_head(messy, monkeypatch):
-    a = sorted((brute.key((r.doc_id, r.n_tokens)), round(r.score, 6)) for r in lattice_lm.lm_score(messy, VOCABULARY, rounds=1).collect())
+    a = sorted((brute.key((r.doc_id, r.n_tokens)), round(r.score, 6), round(r.fitted_score, 6)) for r in lattice_lm.lm_score(messy, VOCABULARY, rounds=1).collect())
     monkeypatch.setattr(lattice_lm, "HEAD_WORDS", 3)
-    b = sorted((brute.key((r.doc_id, r.n_tokens)), round(r.score, 6)) for r in lattice_lm.lm_score(messy, VOCABULARY, rounds=1).collect())
+    b = sorted((brute.key((r.doc_id, r.n_tokens)), round(r.score, 6), round(r.fitted_score, 6)) for r in lattice_lm.lm_score(messy, VOCABULARY, rounds=1).collect())
     assert a == b
 
 
@@ -247,8 +290,38 @@ def test_mixed_documents_hold_the_taken_words(docs, messy):
 
 
 def test_slots_permute_blocks(spark):
-    targets = spark.createDataFrame([("a", 64 * 1000003, 1.5 * 64 * 1000003 / 1000), ("b", 6400, 12800.0), (None, 65, 100.0)], "source string, source_size long, target double")
-    slots = mixing.draw_slots(targets)
-    counts = {(r.source, r.block): r["count"] for r in slots.groupBy("source", "block").count().collect()}
-    assert all(counts["b", k] == 2 for k in range(100))
-    assert all(n == 1 for (s, _), n in counts.items() if s == "a")
+    targets = spark.createDataFrame([(0, "a", 64 * 1000003, 1.5 * 64 * 1000003 / 1000), (1, "b", 6400, 12800.0), (2, None, 65, 100.0)], "k long, source string, source_size long, target double")
+    slots = mixing.draw_slots(targets).collect()
+    blocks = {}
+    for r in slots:
+        blocks.setdefault(r.source, []).append(r.block)
+    assert sorted(blocks["b"]) == sorted([*range(100)] * 2) and sorted(blocks[None]) == [0, 0, 1]
+    assert len(set(blocks["a"])) == len(blocks["a"]) == 1500 and 0 <= min(blocks["a"]) and max(blocks["a"]) < 1000003
+    # slots that follow each other don't take neighbours
+    a = np.array([r.block for r in sorted((r for r in slots if r.source == "a"), key=lambda r: r.slot)])
+    assert np.mean(np.abs(np.diff(a)) < 50_000) < 0.3 and abs(np.corrcoef(a[:-1], a[1:])[0, 1]) < 0.15
+
+
+def test_shards_draw_their_sources(spark):
+    targets = spark.createDataFrame([(0, "a", 64 * 4000, 64 * 6000.0), (1, "b", 64 * 9000, 64 * 3000.0), (2, "c", 64 * 2000, 64 * 1000.0)], "k long, source string, source_size long, target double")
+    counts = mixing.shard_counts(mixing.slot_totals(targets), 250).collect()
+    shards, totals = {}, {}
+    for r in counts:
+        shards.setdefault(r.shard, {})[r.k] = r.n
+        totals[r.k] = totals.get(r.k, 0) + r.n
+    assert totals == {0: 6000, 1: 3000, 2: 1000}
+    assert sorted(shards) == list(range(40)) and all(sum(s.values()) == 250 for s in shards.values())
+    # the spread of a multinomial draw: 250 * 0.6 * 0.4 = 60
+    assert 25 < np.var([shards[s].get(0, 0) for s in range(36)]) < 120
+
+
+def test_mixed_shards_hold_the_mix(docs, messy, empty):
+    for df in (docs, messy):
+        rows = mixing.mixed_shards(df, shard_slots=16).collect()
+        taken, size = {}, {}
+        for r in rows:
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split(" "))
+        for r in mixing.mix_report(df).collect():
+            size[r.doc_id] = size.get(r.doc_id, 0) + r.taken
+        assert taken == {i: n for i, n in size.items() if n}
+    assert mixing.mixed_shards(empty).count() == 0
