@@ -3,22 +3,23 @@
 A normalised text is cut into fixed-size blocks of bytes. Distinct blocks are sorted and
 numbered, so that a block's name is an integer that no other content has; then neighbouring
 names are paired, distinct pairs sorted and numbered, and so on until one name is left of each
-document. Names are given to contents, never to hashes, so equal names mean equal texts.
-
-Only documents that may have a twin take part: the length and the hash of the first block of
-equal texts are equal, so a document that is alone with these two is certainly unique.
+document. Every row of every document is named, and names are given to contents, never to hashes,
+so equal names of texts of one length mean equal texts. A row leaves the recursion at the level
+at which it has one name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, drop
 
 BLOCK_BYTES = 4096
-#: Groups of (length, first hash) up to which their table is broadcast: 16 bytes each.
-BROADCAST_GROUPS = 500_000
+#: Texts up to which a table of their digests is broadcast: 80 bytes each.
+BROADCAST_TEXTS = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -26,42 +27,36 @@ def _bytes_of(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ").cast("binary")
 
 
-def _first(norm, block_bytes):
-    return F.xxhash64(F.substring(norm, 1, block_bytes))
-
-
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct contents with an integer for each: the place in the sorted partition, below the partition's number. A global sort would send samples of whole blocks to the driver."""
     # as a table of its own, so that the join to it shuffles both sides and a hot content can be split among tasks
     return cut(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "named")
 
 
-def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, fp, n_bytes, name) of each distinct row of docs(doc_id, fp, n_bytes, norm); equal texts alone have the same (n_bytes, name).
+def name_rows(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, n_bytes, name) of each of rows(row, n_bytes, blocks): rows with equal blocks alone have the same (n_bytes, name).
 
-    norm is binary. Documents of one block are named at the first level; the number of levels is
-    the logarithm of the longest document's number of blocks.
+    blocks are all of block_bytes bytes but the last. The number of levels is the logarithm of the
+    longest text's number of blocks; a level holds only the rows that still have several names.
     """
-    blocks = cut(
-        docs.withColumn("blocks", F.expr(f"transform(sequence(0, cast(greatest(n_bytes - 1, 0) div {block_bytes} as int)), i -> substring(norm, i * {block_bytes} + 1, {block_bytes}))"))
-        .select("doc_id", "fp", "n_bytes", F.posexplode("blocks").alias("idx", "block")),
-        "blocks",
-    )
+    blocks = rows.select("row", "n_bytes", F.posexplode("blocks").alias("idx", "block"))
+    most = rows.agg(F.max(F.size("blocks"))).first()[0] or 0
     names = _numbered(blocks.groupBy("n_bytes", "block").agg(F.count("*").alias("uses")).drop("uses"), ["n_bytes", "block"])
-    level = blocks.join(names, ["n_bytes", "block"]).select("doc_id", "fp", "n_bytes", "idx", "name")
-    most = blocks.agg(F.max("idx")).first()[0] or 0
-    while most > 0:
-        # documents of an odd number of names carry the last one up with -1 beside it
-        level = cut(level, "names")
-        pairs = (
-            level.withColumn("pair", F.expr("idx div 2").cast("int"))
-            .groupBy("doc_id", "fp", "n_bytes", "pair")
-            .agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"))
-        )
+    level = cut(blocks.join(names, ["n_bytes", "block"]).select("row", "n_bytes", "idx", "name"), "names")
+    drop(names)
+    done, span = [], block_bytes
+    while True:
+        # texts of up to span bytes have one name by now
+        done.append(level.filter(F.col("n_bytes") <= span).select("row", "n_bytes", "name"))
+        if most <= 1:
+            return reduce(DataFrame.unionByName, done)
+        # an odd number of names carries the last one up with -1 beside it
+        side = lambda k: F.max(F.when(F.col("idx") % 2 == k, F.col("name")))
+        pairs = level.filter(F.col("n_bytes") > span).groupBy("row", "n_bytes", F.expr("cast(idx div 2 as int)").alias("pair")).agg(side(0).alias("l"), F.coalesce(side(1), F.lit(-1)).alias("r"))
         named = _numbered(pairs.groupBy("n_bytes", "l", "r").agg(F.count("*").alias("uses")).drop("uses"), ["n_bytes", "l", "r"])
-        level = pairs.join(named, ["n_bytes", "l", "r"]).select("doc_id", "fp", "n_bytes", F.col("pair").alias("idx"), "name")
-        most //= 2
-    return level.select("doc_id", "fp", "n_bytes", "name")
+        level = cut(pairs.join(named, ["n_bytes", "l", "r"]).select("row", "n_bytes", F.col("pair").alias("idx"), "name"), "names")
+        drop(named)
+        span, most = 2 * span, (most + 1) // 2
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -70,40 +65,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when equal after each run of ASCII white space has become one space; a null
     text is an empty one, and empty texts are equal to each other. The smallest id of a group
     stays. A null id is smaller than no id, so it stays only where all ids of its group are null.
-    Rows that repeat an id and its text all count in group_size and are all marked alike. No rows
-    give no rows. Other columns are not looked at.
+    Rows that repeat an id and its text all count in group_size and are all marked alike. Texts of
+    any length are named whole. No rows give no rows. Other columns are not looked at.
     """
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    norm = text.select("doc_id", _bytes_of(F.col("text")).alias("norm"))
-    seen = norm.select("doc_id", F.octet_length("norm").cast("long").alias("n_bytes"), _first(F.col("norm"), block_bytes).alias("first"), F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"))
-    seen = cut(seen, "seen")
-    twins = cut(seen.groupBy("n_bytes", "first").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twins")
-    twins = broadcast_if_small(twins, twins.count(), BROADCAST_GROUPS)
-    again = norm.withColumns({"n_bytes": F.octet_length("norm").cast("long"), "first": _first(F.col("norm"), block_bytes)})
-    chosen = again.join(twins, ["n_bytes", "first"], "left_semi").select("doc_id", F.xxhash64("norm").alias("fp"), "n_bytes", "norm")
-    named = cut(name_documents(chosen, block_bytes).distinct(), "identity")
-    # rows counted with their repeats; equal names are joined where they are, not gathered
-    counted = seen.groupBy("doc_id", "fp", "n_bytes").agg(F.count("*").alias("times"))
-    groups = (
-        named.alias("a").join(counted.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.fp = b.fp and a.n_bytes = b.n_bytes"))
-        .select("a.*", "b.times").groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    )
-    found = named.join(groups, ["n_bytes", "name"]).select("doc_id", "fp", "n_bytes", "keep_id", "group_size")
-    return (
-        seen.alias("a").join(found.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.fp = b.fp and a.n_bytes = b.n_bytes"), "left")
-        .select("a.doc_id", F.when(F.col("b.group_size").isNull(), F.col("a.doc_id")).otherwise(F.col("b.keep_id")).alias("keep_id"), F.coalesce("b.group_size", F.lit(1)).alias("group_size"), "a.text_sha256")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    norm = docs.select(F.col(id_col).alias("doc_id"), _bytes_of(F.col(text_col)).alias("norm"))
+    blocks = F.expr(f"transform(sequence(0, cast(greatest(octet_length(norm) - 1, 0) div {block_bytes} as int)), i -> substring(norm, i * {block_bytes} + 1, {block_bytes}))")
+    # written once: the row's number, its digest and its blocks
+    rows = cut(norm.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"), blocks.alias("blocks")), "rows")
+    identity = cut(name_rows(rows.select("row", "n_bytes", "blocks"), block_bytes).join(rows.select("row", "doc_id", "text_sha256"), "row").drop("row"), "identity")
+    groups = identity.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    drop(rows)
+    return identity.join(groups, ["n_bytes", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each text, the same columns: the one of the smallest id, and one of the rows that repeat that id."""
+    """docs with one row of each text, the same columns: the one of the smallest id, and one of the rows that repeat that id. Null texts, null ids and empty tables as in exact_dedup."""
     marks = cut(exact_dedup(docs), "marks")
     keys = marks.groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n")).filter("not kept or n > 1")
     keys = cut(keys.select("doc_id", "text_sha256", "kept"), "drop")
     few = keys.count()
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.sha2(_bytes_of(F.col("text")), 256).alias("text_sha256"), F.struct(*docs.columns).alias("row")).alias("a")
     met = F.expr("a.doc_id <=> b.doc_id and a.text_sha256 = b.text_sha256")
-    single = rows.join(broadcast_if_small(keys, few, BROADCAST_GROUPS).alias("b"), met, "left_anti")
-    repeated = rows.join(broadcast_if_small(keys.filter("kept"), few, BROADCAST_GROUPS).alias("b"), met, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    single = rows.join(broadcast_if_small(keys, few, BROADCAST_TEXTS).alias("b"), met, "left_anti")
+    repeated = rows.join(broadcast_if_small(keys.filter("kept"), few, BROADCAST_TEXTS).alias("b"), met, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
     return single.unionByName(repeated).select("row.*")

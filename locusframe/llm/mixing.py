@@ -113,10 +113,6 @@ def _running(counts: DataFrame) -> DataFrame:
     return local.join(base, ["k", "bucket"]).select("k", "shard", "n", (F.col("base") + F.col("inside")).alias("before"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return broadcast_if_small(df, df.count(), BROADCAST_SOURCES)
-
-
 def slot_totals(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(k, source, blocks, slots): by the mean words of a block, as the last one of a source is short."""
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
@@ -134,10 +130,10 @@ def shard_counts(totals: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame
     shares = totals.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("slots")).filter("slots > 0")
     by_bin = shares.select("k", "lo", "hi", F.explode(F.expr(f"sequence(lo * {bins} div {all_slots}, (hi - 1) * {bins} div {all_slots})")).alias("bin"))
     draws = _uniform(spark.range(all_slots), "id", all_slots).select(F.expr(f"id div {shard_slots}").alias("shard"), "u", F.expr(f"u * {bins} div {all_slots}").alias("bin"))
-    drawn = cut(draws.join(_small(by_bin), "bin").filter("u >= lo and u < hi").groupBy("k", "shard").agg(F.count("*").alias("n")), "draws")
+    drawn = cut(draws.join(broadcast_if_small(by_bin, sources + bins, BROADCAST_SOURCES), "bin").filter("u >= lo and u < hi").groupBy("k", "shard").agg(F.count("*").alias("n")), "draws")
     # what a source draws beyond its total goes to those that are short, unit by unit: about the square root of all slots
     least = F.least(F.col("n"), F.greatest(F.col("slots") - F.col("before"), F.lit(0)))
-    checked = _running(drawn).join(_small(totals.select("k", "slots")), "k").withColumn("kept", least)
+    checked = _running(drawn).join(broadcast_if_small(totals.select("k", "slots"), sources, BROADCAST_SOURCES), "k").withColumn("kept", least)
     over = checked.filter("n > kept").select("k", "shard", (F.col("n") - F.col("kept")).alias("n"))
     short = totals.join(drawn.groupBy("k").agg(F.sum("n").alias("drawn")), "k", "left").select("k", F.lit(0).alias("shard"), (F.col("slots") - F.coalesce("drawn", F.lit(0))).alias("n")).filter("n > 0")
     order = Window.orderBy("k", "shard").rowsBetween(Window.unboundedPreceding, 0)
@@ -153,7 +149,7 @@ def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     numbered = _running(cut(shard_counts(totals, shard_slots), "counts"))
     seed = _digest(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     # shards are dealt to a stated number of tasks, as their counts are few bytes and what they make is not
-    dealt = numbered.repartition(parts, "shard").join(_small(totals.select("k", "source", "blocks", seed.alias("seed"))), "k")
+    dealt = numbered.repartition(parts, "shard").join(broadcast_if_small(totals.select("k", "source", "blocks", seed.alias("seed")), targets.count(), BROADCAST_SOURCES), "k")
     slots = dealt.withColumn("slot", F.explode(F.expr("sequence(before, before + n - 1)")))
     return slots.select("k", "source", "slot", "shard", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("seed")).alias("block"), F.expr("slot div blocks").alias("round"))
 
@@ -184,7 +180,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORD
     """
     sized = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"), "sizes")
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
-    placed = laid_out(sized).alias("a").join(_small(targets).alias("t"), F.expr("a.source <=> t.source")).select("a.*", "t.k", "t.source_size", "t.target")
+    placed = laid_out(sized).alias("a").join(broadcast_if_small(targets, targets.count(), BROADCAST_SOURCES).alias("t"), F.expr("a.source <=> t.source")).select("a.*", "t.k", "t.source_size", "t.target")
     return cut(placed, "laid"), draw_slots(targets, block_words, shard_slots)
 
 
