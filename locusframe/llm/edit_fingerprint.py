@@ -19,11 +19,12 @@ from .components import components
 
 #: Samples on a scale, classes of characters (0 is the end of the text), steps before the table of bits repeats.
 SAMPLES, CLASSES, PERIOD = 256, 15, 8191
-#: Characters whose walks run together in a worker.
-SLICE_CHARS = 6 << 20
+#: Characters whose walks run together in a worker; walks up to which each goes on alone, as a long text's do.
+SLICE_CHARS, FEW = 6 << 20, 12
 _rng = np.random.default_rng(8)
 _BITS = _rng.integers(0, 2, (PERIOD, CLASSES + 1), dtype=np.int64)
 _BITS[:, 0] = 0
+_STEPS = [bytes(row) for row in _BITS.astype(np.uint8)]
 _SPREAD = _rng.random(SAMPLES)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
@@ -74,6 +75,11 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
         last = t
         if not at.size:
             break
+        if at.size <= FEW:
+            # from the step that is due: its samples are the first that each takes alone
+            for who, where in zip(live.tolist(), at.tolist()):
+                _alone(flat, where, t, int(scales[who]), [o[who] for o in out])
+            break
         if not ends:
             s = scales[live]
             ends = {int(v): slice(int(np.searchsorted(s, v)), int(np.searchsorted(s, v, "right"))) for v in np.unique(s)}
@@ -85,6 +91,26 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
     return [f"{s:02x}:{x.decode()}:{y.decode()}" for s, x, y in zip(scales.tolist(), a, b)]
 
 
+def _alone(flat: np.ndarray, at: int, t: int, scale: int, out: list[np.ndarray]) -> None:
+    """One walk from its place at time t to its end, with its samples; symbols come in pieces, so memory stays small."""
+    due = sorted((u, own, k) for own in (0, 1) for k, u in enumerate(times_of(scale + own).tolist()) if u >= t)
+    base, piece = at, flat[at : at + 65536].tobytes()
+    for u, own, k in due:
+        while t < u:
+            # a walk steps on by one at most, so a piece lasts for as many steps as it has symbols left
+            stop = min(u, t + len(piece) - (at - base))
+            i, row = at - base, t % PERIOD
+            for _ in range(stop - t):
+                i += _STEPS[row][piece[i]]
+                row = row + 1 if row + 1 < PERIOD else 0
+            at, t = base + i, stop
+            if flat[at] == 0:
+                return
+            if at - base >= len(piece) - 1 or t < u:
+                base, piece = at, flat[at : at + 65536].tobytes()
+        out[own][k] = flat[at]
+
+
 def likeness(x: str, y: str) -> float:
     """0 to 1: the share of samples that agree, less what agrees by chance, on a scale that both have; 1 for equal fingerprints, 0 where the lengths are too far apart."""
     if x == y:
@@ -133,7 +159,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = F.when(before.isNotNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(before.alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))))
     return (
         dealt.withColumn("to", F.explode(both)).select("doc_id", "text", "order", "to.part", "to.own")
-        .repartition(parts, "part").sortWithinPartitions("part", F.col("own").desc(), "order", "text")
+        # a range is a partition, not hashed into one
+        .repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.col("own").desc(), "order", "text")
     )
 
 
@@ -217,8 +244,8 @@ def _bucket_links(t: pa.Table, least: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_classes(prints: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id) for prints(doc_id, fingerprint): the smallest id that links of this likeness reach, among documents that agree in a band of sampled characters.
+def classes_of(prints: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
+    """(fingerprint, class_id) of each distinct fingerprint of prints(doc_id, fingerprint): the smallest id that links of this likeness reach, among documents that agree in a band of sampled characters.
 
     Equal fingerprints are one class from the start. What a bucket sends on are links that join its
     components, not all its pairs. Rows without an id or a fingerprint are left out.
@@ -239,9 +266,23 @@ def near_classes(prints: DataFrame, bands: int = BANDS, least: float = LEAST) ->
     members = dealt.join(coded, ["doc_id", "scale", "own"])
     links = by_group(members.select("bucket", "side", "doc_id", "own", "code"), "bucket", ["doc_id"], lambda t: _bucket_links(t, least), "a long, b long")
     comp = components(links)
-    named = reps.join(comp, reps.rep == comp.node, "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
-    return prints.select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "class_id")
+    return reps.join(comp, reps.rep == comp.node, "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
+
+
+def near_classes(prints: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id) for prints(doc_id, fingerprint), by classes_of; rows without an id or a fingerprint are left out."""
+    known = prints.filter("doc_id is not null and fingerprint is not null").select("doc_id", "fingerprint")
+    return known.join(classes_of(known, bands, least), "fingerprint").select("doc_id", "class_id")
+
+
+def classified(found: DataFrame) -> DataFrame:
+    """fingerprint's rows with class_id: the smallest id among documents that bands and verification link; a row without an id has none."""
+    found = cut(found, "fingerprints")
+    # a table of its own, so that a fingerprint that many documents have can be split in the join
+    classes = cut(classes_of(found.select("doc_id", "fingerprint")), "classes")
+    return found.join(classes, "fingerprint", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
 
 
 def report(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = classified(found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")

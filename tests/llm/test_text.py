@@ -43,6 +43,10 @@ def test_bpe_query_rows(messy, rows, library):
 def test_bpe_empty_and_columns(empty, messy):
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     assert byte_bpe.encoded_documents(messy, RANKS, public_tokenizers.PATTERN).columns == [c for c in messy.columns if c != "text"] + ["ids", "n_tokens"]
+    clash = messy.withColumnRenamed("size", "ids").withColumnRenamed("kept", "n_tokens")
+    found = byte_bpe.encoded_documents(clash, RANKS, public_tokenizers.PATTERN)
+    assert found.columns == [c for c in clash.columns if c != "text"] + ["ids_", "n_tokens_"]
+    assert {r.ids for r in found.select("ids").collect()} == {"size"}
 
 
 def test_license_base_matches_brute_force(messy, rows, docs, empty):
@@ -107,7 +111,8 @@ def test_fingerprint_likeness_follows_edit_distance():
     assert a > b > c and a > 0.8 and c < 0.2
 
 
-def test_walks_match_a_plain_walk():
+@pytest.mark.parametrize("few", [0, 12])
+def test_walks_match_a_plain_walk(monkeypatch, few):
     t = edit_fingerprint.symbols("the quick brown fox " * 30)
     scale = edit_fingerprint.scale_of(t.size)
     i, seen = 0, []
@@ -116,9 +121,38 @@ def test_walks_match_a_plain_walk():
         seen.append("0123456789abcdef"[c])
         i += int(edit_fingerprint._BITS[step % edit_fingerprint.PERIOD, c])
     expected = ["".join(seen[x] for x in edit_fingerprint.times_of(scale + d)) for d in (0, 1)]
+    monkeypatch.setattr(edit_fingerprint, "FEW", few)
     assert edit_fingerprint.fingerprints([t]) == [f"{scale:02x}:{expected[0].ljust(256, '0')}:{expected[1].ljust(256, '0')}"]
 
 
+def test_long_walks_alone_are_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(1, 16, n).astype(np.uint8) for n in (0, 1, 70, 5000, 200_000, 131_072)]
+    alone = edit_fingerprint.fingerprints(texts)
+    monkeypatch.setattr(edit_fingerprint, "FEW", 0)
+    assert edit_fingerprint.fingerprints(texts) == alone
+
+
+def test_fingerprint_report_holds_classes_and_likeness(messy, rows, empty):
+    found = edit_fingerprint.report(edit_fingerprint.fingerprint(messy)).collect()
+    assert len(found) == len(rows)
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    prints = dict(zip([t for _, t in order], edit_fingerprint.fingerprints([edit_fingerprint.symbols(t) for _, t in order])))
+    once = {i: k for k, (i, _) in enumerate(order) if sum(j == i for j, _ in order) == 1}
+    for r in found:
+        if r.doc_id in once:
+            k = once[r.doc_id]
+            own, follows = order[k][1], order[(k + 1) % len(order)][1]
+            e = edit_fingerprint.edited(own, follows)
+            print_e = edit_fingerprint.fingerprints([edit_fingerprint.symbols(e)])[0]
+            assert r.fingerprint == prints[own] and r.edited_fingerprint == print_e and r.edited_sha256 == brute.sha(e)
+            assert r.near_edited == edit_fingerprint.likeness(prints[own], print_e) and r.near_next == edit_fingerprint.likeness(prints[own], prints[follows])
+    classes = {r.doc_id: r.class_id for r in found if r.doc_id is not None}
+    assert classes[6] == classes[7] == 4 and classes[10] == 9 and classes[15] == 15
+    assert all(r.class_id is None for r in found if r.doc_id is None)
+    assert edit_fingerprint.report(edit_fingerprint.fingerprint(empty)).count() == 0
+
+
 def test_near_classes_match_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = []
