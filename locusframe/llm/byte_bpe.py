@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, fresh
 
 #: Remembered pre-tokens of a generation, of which there are two. Longer pre-tokens than MEMO_CHARS aren't remembered.
 MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
@@ -175,7 +175,8 @@ def _shipped(df: DataFrame, ranks_path: str, pattern: str):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs: ids as little-endian unsigned 32-bit integers, and the bytes that they decode to.
 
-    A null text is an empty one; an empty text has no ids. No special tokens. A null id stays null,
+    A null text is an empty one; an empty text has no ids; texts and pre-tokens of any length are
+    encoded whole, and no rows give no rows. No special tokens. A null id stays null,
     rows that repeat come back as often, other columns are not looked at. The rank file is read on
     the driver and broadcast: its size is that of the vocabulary.
     """
@@ -196,10 +197,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
-    """docs with ids and n_tokens in place of the text, the other columns as they are; rows as in encode. decoded adds decoded_sha256, the digest of the bytes that the ids decode to."""
+    """docs with ids and n_tokens in place of the text, the other columns as they are; rows as in encode. decoded adds decoded_sha256, the digest of the bytes that the ids decode to. Where docs has a column of one of these names it stays, and the new one has an underscore more."""
     shipped = _shipped(docs, ranks_path, pattern)
-    new = {"ids": "binary", "n_tokens": "long", **({"decoded_sha256": "string"} if decoded else {})}
-    rest = [c for c in docs.columns if c != "text" and c not in new]
+    rest = [c for c in docs.columns if c != "text"]
+    new = {fresh(c, rest): t for c, t in (("ids", "binary"), ("n_tokens", "long"), *([("decoded_sha256", "string")] if decoded else []))}
 
     def make():
         raw, displacements = shipped.value
@@ -215,7 +216,7 @@ def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str, decoded: b
         return run
 
     kinds = dict(docs.dtypes)
-    return by_batch(docs.select(*rest, "text"), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"{c} {kind}" for c, kind in new.items())]))
+    return by_batch(docs.select(*rest, "text"), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"`{c}` {kind}" for c, kind in new.items())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
