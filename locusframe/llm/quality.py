@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, residue, texts_of
+from .common import by_batch, fresh, residue, texts_of
 from .labelled import training_rows
 
-#: Labelled rows that the network is fitted on, at most; labelled texts of more bytes are not used for fitting.
-TRAIN_ROWS, TRAIN_BYTES = 2500, 32_768
+#: Labelled rows that the network is fitted on, at most; their texts are used whole.
+TRAIN_ROWS = 2500
 FOLD, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: A window has WIDTH bytes, every STRIDE bytes. A chunk has 2 * BLOCK windows and overlaps the next one by half.
 WIDTH, STRIDE, BLOCK, FILTERS = 12, 2, 64, 20
-EPOCHS, BATCH, RATE, DECAY, SEED = 14, 32, 0.01, 1e-4, 7
+EPOCHS, BATCH, RATE, DECAY, SEED = 8, 32, 0.01, 1e-4, 7
 #: Bytes that are convolved at once.
 PIECE = 1 << 19
 
@@ -50,6 +50,14 @@ def pairs_of(text: bytes) -> np.ndarray:
     return VECTORS[raw].reshape(n, _DIM)
 
 
+def windows_at(text: bytes, spots: np.ndarray) -> list[np.ndarray]:
+    """The vectors of each STRIDE bytes of the windows at spots, as in pairs_of."""
+    raw = np.frombuffer(text, np.uint8)
+    at = spots[:, None] * STRIDE + np.arange(WIDTH)
+    found = np.where(at < raw.size, raw[np.minimum(at, max(0, raw.size - 1))] if raw.size else 0, 0)
+    return [VECTORS[found[:, j * STRIDE : (j + 1) * STRIDE]].reshape(spots.size, _DIM) for j in range(_PARTS)]
+
+
 class Network:
     def __init__(self):
         rng = np.random.default_rng(SEED)
@@ -67,30 +75,37 @@ class Network:
             z += pairs[j : j + n] @ self.w[j]
         return z + self.b
 
-    def chunk_maxima(self, pairs: np.ndarray) -> np.ndarray:
-        """(chunks, FILTERS): the largest output in each chunk; by pieces, so that long texts take bounded memory."""
-        step = PIECE // STRIDE // BLOCK * BLOCK
-        n = pairs.shape[0] - _PARTS + 1
-        blocks = []
-        for lo in range(0, n, step):
-            z = self.outputs(pairs[lo : min(lo + step, n) + _PARTS - 1])
-            blocks.append(np.maximum.reduceat(z, np.arange(0, z.shape[0], BLOCK), axis=0))
-        m = np.concatenate(blocks)
-        return np.maximum(m[:-1], m[1:]) if m.shape[0] > 1 else m
-
-    def score(self, text: bytes) -> float:
-        if self.constant is not None:
-            return self.constant
-        # only a piece's vectors are held at a time
+    def blocks(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, FILTERS): the largest output in each block of windows, and the window that has it; by pieces, so that long texts take bounded memory."""
         size, overlap = PIECE // (STRIDE * BLOCK) * (STRIDE * BLOCK), WIDTH - STRIDE
-        blocks = []
+        tops, spots = [], []
         for lo in range(0, max(1, len(text)), size):
             last = lo + size >= len(text)
             p = pairs_of(text[lo : lo + size + overlap])
             z = self.outputs(p if last else p[: size // STRIDE + _PARTS - 1])
-            blocks.append(np.maximum.reduceat(z, np.arange(0, z.shape[0], BLOCK), axis=0))
-        m = np.concatenate(blocks)
-        m = np.maximum(np.maximum(m[:-1], m[1:]) if m.shape[0] > 1 else m, 0)
+            n = -(-z.shape[0] // BLOCK)
+            whole = z.shape[0] // BLOCK
+            best = np.empty((n, FILTERS), np.int64)
+            best[:whole] = z[: whole * BLOCK].reshape(whole, BLOCK, FILTERS).argmax(1)
+            if whole < n:
+                best[whole:] = z[whole * BLOCK :].argmax(0)
+            best += np.arange(0, n * BLOCK, BLOCK)[:, None]
+            tops.append(np.take_along_axis(z, best, 0))
+            spots.append(best + lo // STRIDE)
+        return np.concatenate(tops), np.concatenate(spots)
+
+    def pooled(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, FILTERS): the largest output in each chunk, and its window."""
+        top, best = self.blocks(text)
+        if top.shape[0] < 2:
+            return top, best
+        later = top[1:] > top[:-1]
+        return np.maximum(top[1:], top[:-1]), np.where(later, best[1:], best[:-1])
+
+    def score(self, text: bytes) -> float:
+        if self.constant is not None:
+            return self.constant
+        m = np.maximum(self.pooled(text)[0], 0)
         x = np.concatenate([m.max(0), m.mean(0)])
         return float(1 / (1 + np.exp(-np.clip(x @ self.v + self.c[0], -30, 30))))
 
@@ -109,22 +124,7 @@ class Network:
             for rows in np.array_split(rng.permutation(y.size), -(-y.size // BATCH)):
                 grads = [np.zeros_like(p) for p in params]
                 for r in rows:
-                    pairs = pairs_of(texts[r])
-                    z = self.outputs(pairs)
-                    n = z.shape[0]
-                    starts = np.arange(0, n, BLOCK)
-                    best = np.empty((starts.size, FILTERS), np.int64)
-                    whole = n // BLOCK
-                    if whole:
-                        best[:whole] = z[: whole * BLOCK].reshape(whole, BLOCK, FILTERS).argmax(1)
-                    if whole < starts.size:
-                        best[whole:] = z[whole * BLOCK :].argmax(0)
-                    best += starts[:, None]
-                    top = z[best, filters]
-                    if starts.size > 1:
-                        later = top[1:] > top[:-1]
-                        best = np.where(later, best[1:], best[:-1])
-                        top = np.maximum(top[1:], top[:-1])
+                    top, best = self.pooled(texts[r])
                     act = np.maximum(top, 0)
                     k = act.argmax(0)
                     x = np.concatenate([act[k, filters], act.mean(0)])
@@ -140,8 +140,8 @@ class Network:
                     spots, where = np.unique(best, return_inverse=True)
                     dense = np.zeros((spots.size, FILTERS), np.float32)
                     np.add.at(dense, (where.reshape(best.shape), np.broadcast_to(filters, best.shape)), g)
-                    for j in range(_PARTS):
-                        grads[0][j] += pairs[spots + j].T @ dense
+                    for j, pairs in enumerate(windows_at(texts[r], spots)):
+                        grads[0][j] += pairs.T @ dense
                 step += 1
                 rate = RATE * (1 - step / (steps + 1))
                 for q, (p, gr) in enumerate(zip(params, grads)):
@@ -153,15 +153,20 @@ class Network:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Network:
-    """A network for labels(doc_id, quality). The driver gathers rows * most_bytes bytes at most."""
-    sample = training_rows(docs.filter(F.octet_length("text") <= most_bytes), labels, "quality", FOLD, HELD_OUT, rows)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
+    """A network for labels(doc_id, quality). The driver gathers the whole texts of rows documents at most; a null text is an empty one."""
+    sample = training_rows(docs, labels, "quality", FOLD, HELD_OUT, rows)
     got = sample.select("doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return Network().fit(got["text"].to_pylist(), got["label"].to_numpy().astype(np.float32))
 
 
 def score_quality(docs: DataFrame, network: Network, column: str = "quality_score") -> DataFrame:
-    """docs with one more column, the probability that a text is good; a null text is an empty one and has a score too. Other columns stay as they are."""
+    """docs with one more column, the probability that a text is good. Other columns stay as they are; where docs has one of that name the new one has an underscore more.
+
+    A null text is an empty one and has a score too; texts of any length are scored whole, by
+    pieces; rows that repeat come back as often; no rows give no rows.
+    """
+    column = fresh(column, docs.columns)
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,12 +179,12 @@ def score_quality(docs: DataFrame, network: Network, column: str = "quality_scor
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs; a null id counts as the empty text in the fold; rows that repeat come back as often."""
+    """(doc_id, held_out, score, predicted) for each row of docs; a null id counts as the empty text in the fold; rows as in score_quality. Without labels of both classes every score is the mean label, or 0.5 without any. Other columns are not looked at."""
     scored = score_quality(docs.select("doc_id", "text"), fit(docs, labels, rows), "score")
     return scored.select("doc_id", (residue(F.col("doc_id"), FOLD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, network: Network) -> DataFrame:
-    """The rows of docs that the network doesn't reject, with the columns of docs."""
-    column = "quality_score" + "_" * max(len(c) for c in docs.columns)
-    return score_quality(docs, network, column).filter(F.col(column) >= THRESHOLD).drop(column)
+    """The rows of docs that the network doesn't reject, with the columns of docs; rows as in score_quality."""
+    column = fresh("quality_score", docs.columns)
+    return score_quality(docs, network).filter(F.col(column) >= THRESHOLD).drop(column)

@@ -71,3 +71,58 @@ def test_features_see_disguise_and_second_person():
     plain, leet, near = (toxicity.features(t, {}) for t in (b"he is an idiot and so on", b"he is an 1d1ot xid1ot and so on", b"you idiot and so on"))
     assert len(plain) == toxicity.FEATURES
     assert plain[1] > 0 and leet[1] == 0 and leet[15] > 0 and near[6] == 1 and plain[6] == 0
+
+
+def plain_convolution(net, text):
+    """Each window of bytes by itself, chunk by chunk."""
+    w = np.concatenate([net.w[j] for j in range(quality._PARTS)]).astype(np.float64)
+    raw = text + bytes(quality.WIDTH + quality.STRIDE)
+    n = max(1, -(-len(text) // quality.STRIDE))
+    z = [np.concatenate([quality.VECTORS[b] for b in raw[i * quality.STRIDE : i * quality.STRIDE + quality.WIDTH]]) @ w + net.b for i in range(n)]
+    step = quality.BLOCK
+    chunks = [np.max(z[i : i + 2 * step], axis=0) for i in range(0, max(1, n - step), step)]
+    m = np.maximum(np.array(chunks), 0)
+    return 1 / (1 + np.exp(-(np.concatenate([m.max(0), m.mean(0)]) @ net.v + net.c[0])))
+
+
+def test_network_matches_a_plain_convolution(larger):
+    docs, _ = larger
+    net = quality.Network()
+    net.v += np.random.default_rng(1).normal(0, 0.5, net.v.size).astype(np.float32)
+    texts = [b"", b"a", b"x" * 13] + [r.text.encode()[:3000] for r in docs.orderBy("doc_id").limit(12).collect()]
+    assert np.allclose([net.score(t) for t in texts], [plain_convolution(net, t) for t in texts], atol=1e-4)
+
+
+def test_trees_match_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, toxicity.FEATURES))
+    y = ((x[:, 3] > 0.4) & (x[:, 7] < 0.5)).astype(float)
+    model = toxicity.Boosted(x, y)
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            f, k, left, right = tree
+            tree = left if sum(row[f] > e for e in model.edges[f]) <= k else right
+        return tree
+
+    for row, s in zip(x[:40], model.score(x[:40])):
+        raw = model.trees[0] + sum(toxicity.RATE * walk(t, row) for t in model.trees[1:])
+        pool = min(sum(raw > e for e in model.ends), len(model.ends) - 1)
+        assert abs(s - (0.999 * model.values[pool] + 0.001 / (1 + np.exp(-raw)))) < 1e-9
+    assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.97
+    few = toxicity.Boosted(x[:20], (x[:20, 0] > 0).astype(float))
+    assert few.trees and few.score(x[:20]).std() > 0
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    from locusframe.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    assert training_rows(docs, labels, "quality", 5, brute.fold(7, 5) + 1, 3).count() == 3
+
+
+def test_columns_with_clashing_names_stay(messy):
+    df = messy.withColumnRenamed("size", "quality_score").withColumnRenamed("kept", "QUALITY_SCORE_")
+    network = quality.Network().fit([], np.zeros(0, np.float32))
+    assert quality.score_quality(df, network).columns == [*df.columns, "quality_score__"]
