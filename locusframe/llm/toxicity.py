@@ -2,8 +2,9 @@
 
 Features of a whole text: densities of a lexicon, how near its words stand to the second person,
 capitals, punctuation, and how often words of the lexicon are disguised. To the fixed lexicon come
-stems (starts of words, and whole words) that the labelled sample shows to mark toxic texts. The
-trees are fitted on the driver, to which only features and the bounded list of stems come.
+stems (starts of words, and whole words) that the labelled sample shows to mark toxic texts, all that pass
+the thresholds. The isotonic calibration sees each row only through trees and stems of the other folds. The
+trees are fitted on the driver, to which only features and those stems come.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, residue, texts_of
+from .common import by_batch, cut, drop, residue, texts_of
 from .labelled import training_rows
 
 #: Labelled rows that the trees are fitted on, at most.
@@ -38,8 +39,13 @@ _RUNS = re.compile(rb"[!?.*#$%&]{2,}")
 _LONG = re.compile(rb"([a-z])\1{2,}")
 _SETS = [frozenset(x.encode() for x in s.split()) for s in (INSULTS, CONTEMPT, SECOND)]
 FEATURES = 25
-#: Bytes of a learned stem; stems kept at most; toxic texts that must hold one; least logarithm of the ratio of its rates in toxic and other texts.
-STEM_BYTES, STEMS, STEM_TEXTS, STEM_ODDS = (4, 5, 6, 7, 8), 600, 4, 2.0
+#: How many of a row's features don't depend on the learned stems; they come first.
+FIXED = 20
+#: Bytes of a learned stem; toxic texts that must hold one; least logarithm of the ratio of its rates in toxic and other texts.
+STEM_BYTES, STEM_TEXTS, STEM_ODDS = (4, 5, 6, 7, 8), 4, 2.0
+#: Folds of the calibration, and the counts of a stem by fold and label.
+FOLDS = 3
+CELLS = [f"n{k}{label}" for k in range(FOLDS) for label in (0, 1)]
 
 
 def stems_of(words: set[bytes]) -> set[bytes]:
@@ -50,20 +56,23 @@ def stems_of(words: set[bytes]) -> set[bytes]:
 
 
 def choose_stems(stems: list[bytes], toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> dict[bytes, float]:
-    """Stems with their logarithm of the ratio of rates, those with most weight and texts first."""
+    """Stems that pass the thresholds, with their logarithm of the ratio of rates."""
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
-    good = np.flatnonzero((toxic >= STEM_TEXTS) & (odds >= STEM_ODDS))
-    order = sorted(good.tolist(), key=lambda i: (-odds[i] * toxic[i] ** 0.5, stems[i]))
-    return {stems[i]: float(odds[i]) for i in order[:STEMS]}
+    return {stems[i]: float(odds[i]) for i in np.flatnonzero((toxic >= STEM_TEXTS) & (odds >= STEM_ODDS))}
 
 
-def features(text: bytes, stems: dict[bytes, float]) -> list[float]:
+def stem_features(distinct: set[bytes], stems: dict[bytes, float]) -> list[float]:
+    marks = []
+    if stems and not stems_of(distinct).isdisjoint(stems):
+        marks = [max(stems[k] for k in own) for w in distinct if (own := stems_of({w}) & stems.keys())]
+    return [float(len(marks)), max(marks, default=0.0), float(sum(marks)), len(marks) / max(1, len(distinct)) * 100, float(sum(m > 3 for m in marks))]
+
+
+def features(text: bytes, *lexicons: dict[bytes, float]) -> list[float]:
+    """The fixed features, then those of each of the learned lexicons."""
     words = text.translate(_FOLD).split()
     n, size = len(words), max(1, len(text))
     distinct = set(words)
-    marks_of = []
-    if stems and not stems_of(distinct).isdisjoint(stems):
-        marks_of = [max(stems[k] for k in own) for w in distinct if (own := stems_of({w}) & stems.keys())]
     insults, contempt, second = _SETS
     found = (insults | contempt).intersection(words)
     persons = second.intersection(words)
@@ -91,16 +100,15 @@ def features(text: bytes, stems: dict[bytes, float]) -> list[float]:
         len(hits) * per, rude * per, (len(hits) - rude) * per, float(len(found)), np.log1p(len(hits)), np.log1p(rude), near, len(yous) * per,
         upper / max(1, letters), text.count(b"!") / size * 100, text.count(b"?") / size * 100, marks / size * 100, runs * per,
         mixed * per, max(0, disguised) * per, float(max(0, disguised)), max(0, stretched) * per, np.log1p(n), np.log1p(len(text)), letters / size,
-        float(len(marks_of)), max(marks_of, default=0.0), sum(marks_of), len(marks_of) / max(1, len(distinct)) * 100, sum(m > 3 for m in marks_of),
     ]
-    return [float(x) for x in row]
+    return [float(x) for x in row] + [x for stems in lexicons for x in stem_features(distinct, stems)]
 
 
-def _tree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+def _tree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int):
     """A tree over binned features as (feature, bin, left, right) or a leaf's value; a row goes left where its bin is not above."""
     total_g, total_h = g.sum(), h.sum()
     leaf = -total_g / (total_h + 1.0)
-    if depth == 0 or g.size < 2 * LEAF:
+    if depth == 0 or g.size < 2 * least:
         return float(leaf)
     best, gain = None, 1e-3
     for f in range(bins.shape[1]):
@@ -109,14 +117,14 @@ def _tree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
         hl = np.cumsum(np.bincount(b, h, BINS + 1))[:-1]
         nl = np.cumsum(np.bincount(b, minlength=BINS + 1))[:-1]
         score = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-        score[(nl < LEAF) | (g.size - nl < LEAF)] = 0
+        score[(nl < least) | (g.size - nl < least)] = 0
         k = int(np.argmax(score))
         if score[k] > gain:
             best, gain = (f, k), float(score[k])
     if best is None:
         return float(leaf)
     left = bins[:, best[0]] <= best[1]
-    return (*best, _tree(bins[left], g[left], h[left], depth - 1), _tree(bins[~left], g[~left], h[~left], depth - 1))
+    return (*best, _tree(bins[left], g[left], h[left], depth - 1, least), _tree(bins[~left], g[~left], h[~left], depth - 1, least))
 
 
 def _apply(tree, bins: np.ndarray, out: np.ndarray, rows: np.ndarray) -> None:
@@ -142,22 +150,26 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Boosted:
-    """Logistic loss, histogram splits, isotonic calibration on predictions for rows that the trees haven't seen. With no rows or a single class the score is the mean label, or 0.5."""
+    """Logistic loss, histogram splits, isotonic calibration on predictions for rows of folds that neither trees nor stems have seen. With no rows or a single class the score is the mean label, or 0.5; with few rows a leaf may be as small as an eighth of them.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, stems: dict[bytes, float] | None = None):
+    apart: for each fold the rows' features under the stems of the other folds; x under all stems.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, stems: dict[bytes, float] | None = None, fold: np.ndarray | None = None, apart: list[np.ndarray] | None = None):
         self.stems = stems or {}
         self.mean = float(y.mean()) if y.size else 0.5
         self.trees = []
-        if y.size < 4 * LEAF or y.min() == y.max():
+        self.leaf = max(1, min(LEAF, y.size // 8))
+        if y.size == 0 or y.min() == y.max():
             return
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="higher")) for f in range(x.shape[1])]
-        bins = self.binned(x)
-        fold = np.arange(y.size) % 3
+        fold = np.arange(y.size) % FOLDS if fold is None else fold
         unseen = np.zeros(y.size)
-        for k in range(3):
+        for k in range(FOLDS):
+            bins = self.binned(x if apart is None else apart[k])
             unseen[fold == k] = self._raw(self._fit(bins[fold != k], y[fold != k]), bins[fold == k])
         self.ends, self.values = isotonic(unseen, y)
-        self.trees = self._fit(bins, y)
+        self.trees = self._fit(self.binned(x), y)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], axis=1)
@@ -169,7 +181,7 @@ class Boosted:
         rows = np.arange(y.size)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-raw))
-            tree = _tree(bins, p - y, p * (1 - p), DEPTH)
+            tree = _tree(bins, p - y, p * (1 - p), DEPTH, self.leaf)
             _apply(tree, bins, raw, rows)
             trees.append(tree)
         return trees
@@ -190,38 +202,64 @@ class Boosted:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
-    """Trees for labels(doc_id, toxic); rows bounds the sample and so what the driver gathers: STEMS stems, and FEATURES numbers a row."""
+    """Trees for labels(doc_id, toxic); rows bounds the sample and so what the driver gathers: the stems that pass the thresholds in it, and some FEATURES numbers a row."""
+    fold = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(FOLDS)).cast("int")
+    sample = cut(training_rows(docs, labels, "toxic", FOLD, HELD_OUT, rows).select("doc_id", (F.col("label") > 0).cast("int").alias("label"), "text", fold.alias("fold")), "sample")
 
     def count():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            found: tuple[dict, dict] = ({}, {})
-            for t, label in zip(texts_of(b.column("text")), b.column("label").to_pylist()):
-                own = found[int(label > 0)]
+            found: dict[bytes, np.ndarray] = {}
+            for t, label, k in zip(texts_of(b.column("text")), b.column("label").to_pylist(), b.column("fold").to_pylist()):
                 for s in stems_of(set(t.translate(_FOLD).split())):
-                    own[s] = own.get(s, 0) + 1
-            keys = list(found[0].keys() | found[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([found[k].get(s, 0) for s in keys], pa.int64()) for k in (1, 0))], ["stem", "toxic", "other"])
+                    if (own := found.get(s)) is None:
+                        own = found[s] = [0] * (2 * FOLDS)
+                    own[2 * k + label] += 1
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(2 * FOLDS))], ["stem", *CELLS])
 
         return run
 
+    sizes = np.zeros((FOLDS, 2))
+    for r in sample.groupBy("fold", "label").count().collect():
+        sizes[r.fold, r.label] = r["count"]
+    counted = by_batch(sample, count, ", ".join(["stem binary", *(f"{c} long" for c in CELLS)])).groupBy("stem").agg(*[F.sum(c).alias(c) for c in CELLS])
+    # a stem that passes without a fold has as many toxic texts in all
+    toxic = sum((F.col(c) for c in CELLS[3::2]), F.col(CELLS[1]))
+    got = counted.filter(toxic >= STEM_TEXTS).filter(_passes(sizes)).toArrow().sort_by("stem")
+    stems, counts = got["stem"].to_pylist(), np.stack([got[c].to_numpy() for c in CELLS], axis=1).reshape(-1, FOLDS, 2)
+    lexicons = []
+    for left_out in (None, *range(FOLDS)):
+        use = [k for k in range(FOLDS) if k != left_out]
+        other, mine = counts[:, use].sum(1).T.astype(float)
+        lexicons.append(choose_stems(stems, mine, other, *sizes[use].sum(0)[::-1].astype(int)))
+    shipped = docs.sparkSession.sparkContext.broadcast(lexicons)
+
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            x = pa.array([features(t, stems) for t in texts_of(b.column("text"))], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), x], ["doc_id", "label", "x"])
+            x = pa.array([features(t, *shipped.value) for t in texts_of(b.column("text"))], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([b.column("label"), b.column("fold"), x], ["label", "fold", "x"])
 
         return run
 
-    sample = training_rows(docs, labels, "toxic", FOLD, HELD_OUT, rows).select("doc_id", "label", "text")
-    classes = dict(sample.groupBy((F.col("label") > 0).cast("int")).count().collect())
-    n_toxic, n_other = classes.get(1, 0), classes.get(0, 0)
-    # the same rule and order as choose_stems, so that no more than STEMS rows come to the driver
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-    counted = by_batch(sample, count, "stem binary, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    best = counted.filter((F.col("toxic") >= STEM_TEXTS) & (odds >= STEM_ODDS)).orderBy((odds * F.sqrt("toxic")).desc(), "stem").limit(STEMS).collect()
-    stems = choose_stems([bytes(r.stem) for r in best], np.array([r.toxic for r in best], float), np.array([r.other for r in best], float), n_toxic, n_other)
-    got = by_batch(sample, make, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, FEATURES)
-    return Boosted(x, got["label"].to_numpy().astype(float), stems)
+    got = by_batch(sample, make, "label int, fold int, x array<double>").toArrow()
+    drop(sample)
+    x = np.array(got["x"].to_pylist(), float).reshape(-1, FIXED + (FEATURES - FIXED) * len(lexicons))
+    # one order, whatever the tasks'
+    order = np.lexsort(x.T) if x.size else np.zeros(0, np.int64)
+    x, y, folds = x[order], got["label"].to_numpy().astype(float)[order], got["fold"].to_numpy()[order]
+    own = FEATURES - FIXED
+    views = [np.concatenate([x[:, :FIXED], x[:, FIXED + k * own : FIXED + (k + 1) * own]], axis=1) for k in range(len(lexicons))]
+    return Boosted(views[0], y, lexicons[0], folds, views[1:])
+
+
+def _passes(sizes: np.ndarray):
+    """Whether a stem's odds pass the threshold over all folds, or over all but one."""
+    ok = F.lit(False)
+    for left_out in (None, *range(FOLDS)):
+        use = [k for k in range(FOLDS) if k != left_out]
+        n_other, n_toxic = sizes[use].sum(0)
+        other, toxic = (sum((F.col(CELLS[2 * k + i]) for k in use[1:]), F.col(CELLS[2 * use[0] + i])) for i in (0, 1))
+        ok = ok | (F.log((toxic + 0.5) / float(n_toxic + 1)) - F.log((other + 0.5) / float(n_other + 1)) >= STEM_ODDS - 1e-9)
+    return ok
 
 
 def score_toxicity(docs: DataFrame, model: Boosted) -> DataFrame:
@@ -240,4 +278,5 @@ def score_toxicity(docs: DataFrame, model: Boosted) -> DataFrame:
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """score_toxicity by trees fitted on at most rows of the labels outside the held-out fold. Without labels of both classes every score is the mean label, or 0.5 without any; texts of any length are scored whole; empty tables give empty tables; ties in the trees go to the first feature."""
     return score_toxicity(docs, fit(docs, labels, rows))
