@@ -27,10 +27,21 @@ def _bytes_of(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ").cast("binary")
 
 
-def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct contents with an integer for each: the place in the sorted partition, below the partition's number. A global sort would send samples of whole blocks to the driver."""
-    # as a table of its own, so that the join to it shuffles both sides and a hot content can be split among tasks
-    return cut(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "named")
+def _named(contents: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """contents with a name for each row in place of its keys: equal contents have one, different ones have not.
+
+    Contents that occur several times are sorted and numbered, by the place in the sorted partition
+    below the partition's number; a global sort would send samples of whole blocks to the driver.
+    They are written as a table of their own, so that the join to it shuffles both sides and a hot
+    content can be split among tasks. One that occurs once needs no partner to be named after: its
+    row gets a number below zero.
+    """
+    shared = contents.groupBy(*keys).agg(F.count("*").alias("uses")).filter("uses > 1").drop("uses")
+    numbers = cut(shared.sortWithinPartitions(*keys).withColumn("number", F.monotonically_increasing_id()), "numbers")
+    out = contents.join(numbers, keys, "left").select("n_bytes", *keep, F.coalesce(F.col("number"), -2 - F.monotonically_increasing_id()).alias("name"))
+    out = cut(out, "names")
+    drop(numbers)
+    return out
 
 
 def name_rows(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -41,9 +52,7 @@ def name_rows(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     blocks = rows.select("row", "n_bytes", F.posexplode("blocks").alias("idx", "block"))
     most = rows.agg(F.max(F.size("blocks"))).first()[0] or 0
-    names = _numbered(blocks.groupBy("n_bytes", "block").agg(F.count("*").alias("uses")).drop("uses"), ["n_bytes", "block"])
-    level = cut(blocks.join(names, ["n_bytes", "block"]).select("row", "n_bytes", "idx", "name"), "names")
-    drop(names)
+    level = _named(blocks, ["n_bytes", "block"], ["row", "idx"])
     done, span = [], block_bytes
     while True:
         # texts of up to span bytes have one name by now
@@ -53,9 +62,7 @@ def name_rows(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         # an odd number of names carries the last one up with -1 beside it
         side = lambda k: F.max(F.when(F.col("idx") % 2 == k, F.col("name")))
         pairs = level.filter(F.col("n_bytes") > span).groupBy("row", "n_bytes", F.expr("cast(idx div 2 as int)").alias("pair")).agg(side(0).alias("l"), F.coalesce(side(1), F.lit(-1)).alias("r"))
-        named = _numbered(pairs.groupBy("n_bytes", "l", "r").agg(F.count("*").alias("uses")).drop("uses"), ["n_bytes", "l", "r"])
-        level = cut(pairs.join(named, ["n_bytes", "l", "r"]).select("row", "n_bytes", F.col("pair").alias("idx"), "name"), "names")
-        drop(named)
+        level = _named(cut(pairs.withColumnRenamed("pair", "idx"), "pairs"), ["n_bytes", "l", "r"], ["row", "idx"])
         span, most = 2 * span, (most + 1) // 2
 
 
@@ -73,7 +80,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # written once: the row's number, its digest and its blocks
     rows = cut(norm.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"), blocks.alias("blocks")), "rows")
     identity = cut(name_rows(rows.select("row", "n_bytes", "blocks"), block_bytes).join(rows.select("row", "doc_id", "text_sha256"), "row").drop("row"), "identity")
-    groups = identity.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written too, so that a hot group can be split in the join
+    groups = cut(identity.groupBy("n_bytes", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     drop(rows)
     return identity.join(groups, ["n_bytes", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
