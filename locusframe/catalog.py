@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .functions import genotype as G
 from .functions.histogram import histogram
 from .operators import distances, filters, ld, multivariate, stats
-from .plans.pipeline import step_counts
-from .sources import derived, vcf
+from .plans.pipeline import build, step_counts
+from .plans.pipeline import filter_variations as run_filters
+from .sources import derived, store, vcf
+from .sources.scratch import scratch
 
 #: Alleles of the derived set, and the least number of genotypes that its small sizes allow.
 ALLELES, ALTS, LEAST = 3, 2, 5
@@ -294,7 +296,7 @@ def min_qual_to_missing(spark, sf):
     return _calls(filters.min_qual_gt_to_missing(derived.variations(spark, sf), 1000.0).variations)
 
 
-@query(
+STEPS = (
     C
     + """, per AS (
       SELECT vid, chrom, pos, COUNT(*) AS n, SUM(CAST(a1 = 0 AS INT) + CAST(a2 = 0 AS INT)) AS c0, SUM(CAST(a1 = 1 AS INT) + CAST(a2 = 1 AS INT)) AS c1, SUM(CAST(a1 = 2 AS INT) + CAST(a2 = 2 AS INT)) AS c2,
@@ -303,12 +305,17 @@ def min_qual_to_missing(spark, sf):
     f AS (SELECT *, NOT (chrom = 'chr1' AND pos >= 0 AND pos < 5000) AS k1, CAST(c0 > 0 AS INT) + CAST(c1 > 0 AS INT) + CAST(c2 > 0 AS INT) > 1 AS k2,
         COALESCE(n - cm / 2.0::DOUBLE >= 5 AND c0 + c1 + c2 > 0 AND n - (2 * n - cm - GREATEST(c0, c1, c2)) / 2.0::DOUBLE <= 20, FALSE) AS k3,
         1 - cm / 2.0::DOUBLE / n >= 0.5 AS k4, COALESCE(called >= 5 AND het / NULLIF(called, 0) <= 0.6, FALSE) AS k5 FROM per)
+"""
+)
+STEP_COUNTS = STEPS + """
     SELECT 1 AS step_no, 'remove_regions' AS step, COUNT(*) FILTER (k1) AS n_kept, COUNT(*) FILTER (NOT k1) AS n_filtered_out FROM f
     UNION ALL SELECT 2, 'variable', COUNT(*) FILTER (k1 AND k2), COUNT(*) FILTER (k1 AND NOT k2) FROM f
     UNION ALL SELECT 3, 'mac', COUNT(*) FILTER (k1 AND k2 AND k3), COUNT(*) FILTER (k1 AND k2 AND NOT k3) FROM f
     UNION ALL SELECT 4, 'call_rate', COUNT(*) FILTER (k1 AND k2 AND k3 AND k4), COUNT(*) FILTER (k1 AND k2 AND k3 AND NOT k4) FROM f
     UNION ALL SELECT 5, 'obs_het', COUNT(*) FILTER (k1 AND k2 AND k3 AND k4 AND k5), COUNT(*) FILTER (k1 AND k2 AND k3 AND k4 AND NOT k5) FROM f"""
-)
+
+
+@query(STEP_COUNTS)
 def pipeline_stats(spark, sf):
     v = derived.variations(spark, sf)
     return step_counts(v, [
@@ -321,6 +328,61 @@ def pipeline_stats(spark, sf):
     ])
 
 
+STEP_PARAMETERS = {"regions_to_remove": [("chr1", 0, 5000)], "min_dp_setter": 1, "remove_non_variable_snvs": True, "max_allowable_mac": 5, "min_call_rate": 0.5, "max_allowable_het": 0.6, "min_call_dp_for_het_call": 0, "min_num_genotypes": LEAST}
+
+
+@query(STEP_COUNTS)
+def filter_counters(spark, sf):
+    """The driver of the filters with its counters, all from one pass."""
+    v, results = build(derived.variations(spark, sf), **STEP_PARAMETERS)
+    v.df.write.format("noop").mode("overwrite").save()
+    counted = [(r.filter_id, r.stats()) for r in results if r.observation is not None]
+    rows = [(k, name, s["n_kept"], s["n_filtered_out"]) for k, (name, s) in enumerate(counted, 1)]
+    return spark.createDataFrame(rows, "step_no int, step string, n_kept long, n_filtered_out long")
+
+
+@query(STEPS + "SELECT vid AS variant_idx, chrom, pos FROM f WHERE k1 AND k2 AND k3 AND k4 AND k5")
+def filter_variations(spark, sf):
+    """From a store to a store."""
+    folder = scratch(spark, "filter")
+    store.write_store(derived.variations(spark, sf), f"{folder}/in")
+    run_filters(spark, f"{folder}/in", f"{folder}/out", verbose=False, **STEP_PARAMETERS)
+    return store.read_store(spark, f"{folder}/out", ["chrom", "pos"]).df
+
+
+@query(C + "SELECT vid AS variant_idx, CAST(SUM(GREATEST(gq, 0)) AS BIGINT) AS s_gq, CAST(SUM(CAST(a1 = 1 AS INT)) AS BIGINT) AS ones FROM calls GROUP BY vid")
+def store_scan(spark, sf):
+    """Written as a store in two parts, the second appended; three columns of it are read."""
+    folder, v = scratch(spark, "store"), derived.variations(spark, sf)
+    first = v.df.agg(F.min("variant_idx"), F.max("variant_idx")).first()
+    middle = (first[0] + first[1]) // 2
+    store.write_store(v.with_df(v.df.filter(F.col("variant_idx") <= middle)), folder)
+    store.write_store(v.with_df(v.df.filter(F.col("variant_idx") > middle)), folder, mode="append")
+    df = store.read_store(spark, folder, ["gt", "gq"], strict=True).df
+    return df.select("variant_idx", G.total(F.transform("gq", lambda x: F.greatest(x, F.lit(0)))).alias("s_gq"), F.size(F.filter("gt", lambda c: F.get(c, F.lit(0)) == 1)).cast("long").alias("ones"))
+
+
+@query(C + """SELECT CAST(DENSE_RANK() OVER (ORDER BY vid) - 1 AS BIGINT) AS variant_idx, chrom, pos, ROUND(qual, 4) AS qual, CAST(sid AS INT) AS sample_idx, a1, a2,
+  CAST(gq AS INT) AS gq, CAST(dp AS INT) AS dp, CAST(ro AS INT) AS ro, CAST(ao1 AS INT) AS ao1, CAST(ao2 AS INT) AS ao2 FROM calls""")
+def vcf_roundtrip(spark, sf):
+    """Written as VCF text by the executors and read again."""
+    folder = scratch(spark, "vcf")
+    vcf.write_vcf_parts(derived.variations(spark, sf), folder)
+    v = vcf.read_vcf(spark, f"{folder}/{{header,body}}")
+    calls = v.long().join(v.df.select("variant_idx", F.round("qual", 4).alias("qual")), "variant_idx")
+    return calls.select("variant_idx", "chrom", "pos", "qual", "sample_idx", "a1", "a2", "gq", "dp", "ro", F.get("ao", F.lit(0)).alias("ao1"), F.get("ao", F.lit(1)).alias("ao2"))
+
+
+MANY = [(f"chr{k % 5 + 1}", k * 97, k * 97 + 150) for k in range(400)]
+_IN_MANY = "EXISTS (SELECT 1 FROM range(400) r(k) WHERE chrom = 'chr' || CAST(k % 5 + 1 AS VARCHAR) AND pos >= k * 97 AND pos < k * 97 + 150)"
+
+
+@query(STATS + f"SELECT {KEYS} FROM st WHERE {_IN_MANY}")
+def regions_many(spark, sf):
+    """More regions than a predicate takes, some of which overlap."""
+    return _kept(filters.keep_variations_in_regions(derived.variations(spark, sf), MANY, stats=False))
+
+
 @query(STATS + f"SELECT {KEYS} FROM st WHERE variant_idx >= 50 AND variant_idx < 150")
 def get_vars_slice(spark, sf):
     return derived.variations(spark, sf).get_vars(slice(50, 150)).df.select("variant_idx", "chrom", "pos")
@@ -400,13 +462,20 @@ def ld_random_pairs(spark, sf):
     return df.select("k", "chrom1", "variant_idx1", "chrom2", "variant_idx2", _r("r"))
 
 
-@query(C + """, d AS (SELECT vid, sid, CASE WHEN a1 = -1 OR a2 = -1 THEN -1.0::DOUBLE WHEN a1 = 0 AND a2 = 0 THEN 0 WHEN a1 = 0 OR a2 = 0 THEN 1 ELSE 2 END AS d FROM calls),
+GRAM = C + """, d AS (SELECT vid, sid, CASE WHEN a1 = -1 OR a2 = -1 THEN -1.0::DOUBLE WHEN a1 = 0 AND a2 = 0 THEN 0 WHEN a1 = 0 OR a2 = 0 THEN 1 ELSE 2 END AS d FROM calls),
   c AS (SELECT vid, sid, d - AVG(d) OVER (PARTITION BY vid) AS d FROM d)
-  SELECT CAST(x.sid AS INT) AS i, CAST(y.sid AS INT) AS j, ROUND(SUM(x.d * y.d), 6) AS value FROM c x JOIN c y ON x.vid = y.vid AND x.sid <= y.sid GROUP BY x.sid, y.sid""")
+  SELECT CAST(x.sid AS INT) AS i, CAST(y.sid AS INT) AS j, ROUND(SUM(x.d * y.d), 6) AS value FROM c x JOIN c y ON x.vid = y.vid AND x.sid <= y.sid GROUP BY x.sid, y.sid"""
+
+
+@query(GRAM)
 def pca_gram(spark, sf):
     return multivariate.gram(derived.variations(spark, sf)).select("i", "j", _r("value"))
 
 
-@query()
+@query(GRAM)
 def pca_projections(spark, sf):
-    return multivariate.projections_table(spark, multivariate.pca(derived.variations(spark, sf)))
+    """Products of the samples' projections over all components: free of the components' signs, and equal to the Gram matrix."""
+    table = multivariate.projections_table(spark, multivariate.pca(derived.variations(spark, sf))).select("sample_idx", "component", "projection")
+    other = table.select(F.col("sample_idx").alias("j"), "component", F.col("projection").alias("other"))
+    both = table.join(other, "component").filter("sample_idx <= j")
+    return both.groupBy(F.col("sample_idx").alias("i"), "j").agg(F.sum(F.col("projection") * F.col("other")).alias("value")).select("i", "j", _r("value"))

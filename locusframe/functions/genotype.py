@@ -38,9 +38,12 @@ def count_of(array: Column, value: int) -> Column:
     return F.size(F.filter(array, lambda x: x == value))
 
 
-def allele_counts(gt: Column, max_alleles: int, count_missing: bool = False) -> Column:
-    """Counts of alleles 0 .. max_alleles - 1, the missing ones last where asked for; higher alleles are not counted."""
+def allele_counts(gt: Column, max_alleles: int | None, count_missing: bool = False) -> Column:
+    """Counts of alleles 0 .. max_alleles - 1, the missing ones last where asked for; higher alleles are not counted. None counts all alleles that the variant has."""
     a = alleles(gt)
+    if max_alleles is None:
+        found = F.transform(F.sequence(F.lit(0), F.greatest(F.array_max(a), F.lit(0))), lambda k: F.size(F.filter(a, lambda x: x == k)))
+        return F.concat(found, F.array(count_of(a, MISSING))) if count_missing else found
     return F.array(*[count_of(a, k) for k in [*range(max_alleles), *([MISSING] if count_missing else [])]])
 
 
@@ -161,8 +164,10 @@ def dosages(gt: Column) -> Column:
     return F.transform(gt, lambda c: F.when(is_missing(c), -1).when(F.forall(c, lambda x: x == 0), 0).when(F.exists(c, lambda x: x == 0), 1).otherwise(2))
 
 
-def is_variable(gt: Column, max_alleles: int) -> Column:
-    return F.size(F.array_distinct(F.filter(alleles(gt), lambda x: (x >= 0) & (x < max_alleles)))) > 1
+def is_variable(gt: Column, max_alleles: int | None) -> Column:
+    """Whether there is more than one allele among those below max_alleles; among all where it is None."""
+    known = F.filter(alleles(gt), lambda x: (x >= 0) if max_alleles is None else (x >= 0) & (x < max_alleles))
+    return F.size(F.array_distinct(known)) > 1
 
 
 def set_missing(gt: Column, keep: Column) -> Column:
@@ -171,7 +176,8 @@ def set_missing(gt: Column, keep: Column) -> Column:
 
 
 def pick(array: Column, indices: list[int]) -> Column:
-    return F.array(*[F.get(array, F.lit(i)) for i in indices])
+    """The elements at these places, by one expression however many there are."""
+    return F.transform(F.lit([int(i) for i in indices]) if indices else F.array().cast("array<int>"), lambda i: F.get(array, i))
 
 
 def harmonic_mean(*values: Column) -> Column:

@@ -43,13 +43,13 @@ def _apply(v: Variations, cond: Column, filter_id: str, stats: bool, value: Colu
         return FilterResult(v.with_df(v.df.filter(cond)), filter_id)
     keep = F.coalesce(cond, F.lit(False))
     seen = Observation()
-    marked = v.df.withColumn("__keep", keep)
-    counters = [F.count_if("__keep").alias("n_kept"), F.count_if(~F.col("__keep")).alias("n_filtered_out")]
+    marked = v.df.withColumn("__locusframe_keep", keep)
+    counters = [F.count_if("__locusframe_keep").alias("n_kept"), F.count_if(~F.col("__locusframe_keep")).alias("n_filtered_out")]
     edges: list[float] = []
     if value is not None and range_ is not None:
         edges = edges_of(bins, *range_)
         counters += [c.alias(f"b{k}") for k, c in enumerate(bins_row(value, bins, range_))]
-    df = marked.observe(seen, *counters).filter("__keep").drop("__keep")
+    df = marked.observe(seen, *counters).filter("__locusframe_keep").drop("__locusframe_keep")
     return FilterResult(v.with_df(df), filter_id, seen, edges, limits)
 
 
@@ -93,17 +93,26 @@ def keep_variable_variations(v: Variations, max_alleles, filter_id="variable", s
     return _apply(v, G.is_variable(F.col("gt"), max_alleles), filter_id, stats)
 
 
-#: Regions up to which they become one predicate, which reaches the scan; more are joined as a broadcast table, up to MOST_REGIONS; more by chromosome.
-PREDICATE_REGIONS, MOST_REGIONS = 64, 100_000
+#: Regions up to which they become one predicate, which reaches the scan; rows of bins up to which more of them are joined as a broadcast table.
+PREDICATE_REGIONS, BROADCAST_BINS = 64, 500_000
 
 
-def _in_regions(regions) -> Column:
-    cond = F.lit(False)
-    for r in regions:
-        c = F.col("chrom") == r[0]
-        if len(r) == 3:
-            c = c & (F.col("pos") >= r[1]) & (F.col("pos") < r[2])
-        cond = cond | c
+def _merged(regions) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Whole chromosomes, and the regions on others as intervals that don't touch, so that a row is in one at most."""
+    whole = sorted({r[0] for r in regions if len(r) == 1})
+    out: list[list] = []
+    for chrom, start, end in sorted(r for r in regions if len(r) == 3 and r[0] not in whole and r[1] < r[2]):
+        if out and out[-1][0] == chrom and start <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], end)
+        else:
+            out.append([chrom, start, end])
+    return whole, [tuple(r) for r in out]
+
+
+def _in_regions(whole, parts) -> Column:
+    cond = F.col("chrom").isin(whole) if whole else F.lit(False)
+    for chrom, start, end in parts:
+        cond = cond | ((F.col("chrom") == chrom) & (F.col("pos") >= start) & (F.col("pos") < end))
     return cond
 
 
@@ -117,22 +126,21 @@ def _checked(regions) -> list[tuple]:
 
 
 def _by_region(v: Variations, regions, keep: bool, filter_id: str, stats: bool) -> FilterResult:
-    regions = _checked(regions)
-    if len(regions) <= PREDICATE_REGIONS:
-        cond = _in_regions(regions)
+    whole, parts = _merged(_checked(regions))
+    if len(parts) <= PREDICATE_REGIONS:
+        cond = _in_regions(whole, parts)
         return _apply(v, cond if keep else ~F.coalesce(cond, F.lit(False)), filter_id, stats)
-    spark = v.df.sparkSession
-    rows = [(r[0], r[1] if len(r) == 3 else None, r[2] if len(r) == 3 else None) for r in regions]
-    table = spark.createDataFrame(rows, "r_chrom string, r_start long, r_end long")
-    table = F.broadcast(table) if len(rows) <= MOST_REGIONS else table
-    met = (F.col("chrom") == F.col("r_chrom")) & (F.col("r_start").isNull() | ((F.col("pos") >= F.col("r_start")) & (F.col("pos") < F.col("r_end"))))
-    inside = v.df.join(table, met, "left_semi" if keep else "left_anti")
-    if not stats:
-        return FilterResult(v.with_df(inside), filter_id)
-    hit = v.df.join(table.withColumn("__hit", F.lit(True)), met, "left").dropDuplicates(["variant_idx"])
-    marked = v.with_df(hit.drop("r_chrom", "r_start", "r_end"))
-    got = _apply(marked, F.col("__hit").isNotNull() if keep else F.col("__hit").isNull(), filter_id, True)
-    got.variations = got.variations.with_df(got.variations.df.drop("__hit"))
+    # by bins of positions: about four a region, so that no task has a chromosome's rows and regions
+    width = max(1, sum(end - start for _, start, end in parts) // (4 * len(parts)))
+    names = {c: f"__locusframe_{c}" for c in ("chrom", "bin", "start", "end")}
+    table = v.df.sparkSession.createDataFrame(parts, ", ".join(f"{names[c]} {t}" for c, t in (("chrom", "string"), ("start", "long"), ("end", "long"))))
+    table = table.withColumn(names["bin"], F.explode(F.expr(f"sequence({names['start']} div {width}, ({names['end']} - 1) div {width})")))
+    bins = sum((end - 1) // width - start // width + 1 for _, start, end in parts)
+    met = (F.col("chrom") == F.col(names["chrom"])) & (F.floor(F.col("pos") / width) == F.col(names["bin"])) & (F.col("pos") >= F.col(names["start"])) & (F.col("pos") < F.col(names["end"]))
+    flagged = v.df.join(F.broadcast(table) if bins <= BROADCAST_BINS else table, met, "left")
+    hit = F.col(names["chrom"]).isNotNull() | F.coalesce(_in_regions(whole, []), F.lit(False))
+    got = _apply(v.with_df(flagged), hit if keep else ~hit, filter_id, stats)
+    got.variations = got.variations.with_df(got.variations.df.drop(*names.values()))
     return got
 
 

@@ -47,21 +47,31 @@ def ld_along_genome(v: Variations, max_distance: int, max_alleles: int, min_num_
 
 
 def ld_random_pairs(v: Variations, num_pairs: int, max_alleles: int, seed: int = 1, min_num_gts: int = G.MIN_NUM_GENOTYPES, max_maf: float = 0.95, unit: str = "dosage", attempts: int | None = None, check: bool = True) -> DataFrame:
-    """(k, chrom1, variant_idx1, chrom2, variant_idx2, r): seeded pairs of variants on different chromosomes, with replacement, the first num_pairs of attempts that have a correlation.
+    """(k, chrom1, variant_idx1, chrom2, variant_idx2, r): seeded pairs of variants on different chromosomes, with replacement, the first num_pairs that have a correlation.
 
-    variant_idx must be dense from its smallest value. unit: dosage, or allele for a correlation over single alleles.
+    Pairs are drawn by the variants' places, so gaps in variant_idx don't matter, in rounds of
+    attempts until there are enough. A round without any raises a RuntimeError. unit: dosage, or
+    allele for a correlation over single alleles.
     """
-    lo, n, chroms = v.df.agg(F.min("variant_idx"), F.count("*"), F.count_distinct("chrom")).first()
-    if chroms < 2:
+    ranked, n = v.ranked()
+    if v.df.select("chrom").distinct().limit(2).count() < 2:
         raise ValueError("at least two chromosomes are needed")
     if check:
         check_maf(v, max_alleles, max_maf, min_num_gts)
-    k = F.col("id")
-    first = F.lit(lo) + ((k * 2654435761 + seed * 40503) % 4294967296) % n
-    second = F.lit(lo) + ((k * 2246822519 + seed * 3266489 + 374761393) % 4294967296) % n
-    drawn = v.df.sparkSession.range(attempts or 4 * num_pairs + 100).select(k.alias("k"), first.alias("variant_idx1"), second.alias("variant_idx2"))
     values = _dosages(v) if unit == "dosage" else G.alleles(F.col("gt")).cast("array<tinyint>")
-    side = lambda x: v.df.select(F.col("variant_idx").alias(f"variant_idx{x}"), F.col("chrom").alias(f"chrom{x}"), values.alias(f"d{x}"))
-    pairs = drawn.join(side(1), "variant_idx1").join(side(2), "variant_idx2").filter("chrom1 <> chrom2")
-    found = pairs.select("k", "chrom1", "variant_idx1", "chrom2", "variant_idx2", correlation(F.col("d1"), F.col("d2"), min_num_gts).alias("r")).filter("r is not null")
-    return found.orderBy("k").limit(num_pairs)
+    side = lambda x: ranked.select(F.col("__rank").alias(f"rank{x}"), F.col("variant_idx").alias(f"variant_idx{x}"), F.col("chrom").alias(f"chrom{x}"), values.alias(f"d{x}"))
+    k, size = F.col("id"), attempts or 4 * num_pairs + 100
+    first = ((k * 2654435761 + seed * 40503) % 4294967296) % n
+    second = ((k * 2246822519 + seed * 3266489 + 374761393) % 4294967296) % n
+
+    def drawn(upto: int) -> DataFrame:
+        pairs = v.df.sparkSession.range(upto).select(k.alias("k"), first.alias("rank1"), second.alias("rank2"))
+        pairs = pairs.join(side(1), "rank1").join(side(2), "rank2").filter("chrom1 <> chrom2")
+        return pairs.select("k", "chrom1", "variant_idx1", "chrom2", "variant_idx2", correlation(F.col("d1"), F.col("d2"), min_num_gts).alias("r")).filter("r is not null")
+
+    upto, had = size, 0
+    while (found := drawn(upto).count()) < num_pairs:
+        if found == had:
+            raise RuntimeError(f"only {found} of {num_pairs} pairs have a correlation")
+        upto, had = 2 * upto, found
+    return drawn(upto).orderBy("k").limit(num_pairs)

@@ -13,6 +13,10 @@ from ..functions import genotype as G
 from ..variations import Variations
 
 
+#: Samples whose matrix fits the driver and an executor: 3.2 GB.
+MOST_SAMPLES = 20_000
+
+
 def _centred(dosages: pa.Array, n: int) -> np.ndarray:
     x = dosages.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
     return x - x.mean(1, keepdims=True)
@@ -42,13 +46,16 @@ class PCA:
 
 
 def pca(v: Variations) -> PCA:
-    """projections: samples by components; princomps: (variant_idx, weights). Signs are arbitrary. The driver holds one matrix of samples by samples, and so does each executor for princomps."""
+    """At most MOST_SAMPLES samples. projections: samples by components; princomps: (variant_idx, weights). Signs are arbitrary. The driver holds one matrix of samples by samples, and so does each executor for princomps."""
     n = v.num_samples
+    if n > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples: the matrix of samples by samples is held whole")
     if v.num_variations < n:
         raise RuntimeError("there are fewer variants than samples")
     g = np.zeros((n, n))
-    for r in gram(v).collect():
-        g[r.i, r.j] = g[r.j, r.i] = r.value
+    got = gram(v).toArrow()
+    i, j = (got[c].to_numpy() for c in ("i", "j"))
+    g[i, j] = g[j, i] = got["value"].to_numpy()
     values, vectors = np.linalg.eigh(g)
     order = np.argsort(values)[::-1]
     values, vectors = np.clip(values[order], 0, None), vectors[:, order]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def diversities(v: Variations, max_alleles: int, min_num_genotypes=G.MIN_NUM_GEN
     return s.agg(F.count_if(F.col("maf") < ALL_BUT_ONE).alias("num_variable"), F.count_if(F.col("maf") <= polymorphic_threshold).alias("num_polymorphic"), F.avg("e").alias("exp_het"), F.avg("o").alias("obs_het"), F.count("*").alias("num_variations"))
 
 
-def summary(v: Variations, max_alleles: int, min_dp: int | None = 20, min_num_genotypes=G.MIN_NUM_GENOTYPES, bins: int = BINS, kinds=("called", "mac", "maf", "obs_het")) -> DataFrame:
+def summary(v: Variations, max_alleles: int | None, min_dp: int | None = 20, min_num_genotypes=G.MIN_NUM_GENOTYPES, bins: int = BINS, kinds=("called", "mac", "maf", "obs_het")) -> DataFrame:
     """(kind, bin, lo, hi, n): histograms of up to four statistics from one pass over the variants; bins without a variant are 0."""
     gt = F.col("gt")
     stats = {
@@ -89,3 +91,15 @@ def summary(v: Variations, max_alleles: int, min_dp: int | None = 20, min_num_ge
     edges = [(k, b, e[b], e[b + 1]) for k in kinds for e in [edges_of(bins, *stats[k][1])] for b in range(bins)]
     every = v.df.sparkSession.createDataFrame(edges, "kind string, bin int, lo double, hi double")
     return every.join(F.broadcast(found), ["kind", "bin"], "left").select("kind", "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def write_summary(v: Variations, folder, name: str, max_alleles: int | None = None, min_dp: int | None = 20, min_num_genotypes=G.MIN_NUM_GENOTYPES, bins: int = BINS) -> None:
+    """A folder with stats.txt, the numbers of variations and samples of the set called name, and each histogram as a table."""
+    rows = summary(v, max_alleles, min_dp, min_num_genotypes, bins).orderBy("kind", "bin").collect()
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    title = f"STATS FOR: {name}"
+    (folder / "stats.txt").write_text(f"{title}\n{'-' * len(title)}\nNum. variations: {v.num_variations}\nNum. samples: {v.num_samples}\n\n")
+    for kind in sorted({r.kind for r in rows}):
+        lines = ["lo,hi,n", *(f"{r.lo},{r.hi},{r.n}" for r in rows if r.kind == kind)]
+        (folder / f"{kind}.csv").write_text("\n".join(lines) + "\n")

@@ -19,9 +19,9 @@ from ..variations import Variations
 def build(
     v: Variations, samples_to_keep=None, samples_to_remove=None, regions_to_remove=None, regions_to_keep=None, min_call_rate=None, min_dp_setter=None,
     remove_non_variable_snvs=None, max_allowable_mac=None, max_allowable_het=None, min_call_dp_for_het_call=None, calc_histogram=False,
-    max_alleles: int = 2, min_num_genotypes=G.MIN_NUM_GENOTYPES, stats: bool = True,
+    max_alleles: int | None = None, min_num_genotypes=G.MIN_NUM_GENOTYPES, stats: bool = True,
 ) -> tuple[Variations, list[flt.FilterResult]]:
-    """The steps in their order; max_allowable_mac counts other than the major allele's carriers, among the samples that are kept."""
+    """The steps in their order; all alleles count unless max_alleles is given. max_allowable_mac counts other than the major allele's carriers, among the samples that are kept."""
     results: list[flt.FilterResult] = []
 
     def step(r: flt.FilterResult) -> None:

@@ -5,16 +5,22 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..variations import Variations
 
 
 def write_store(v: Variations, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """mode append lets a store grow; samples must be the same then."""
-    spark = v.df.sparkSession
-    if mode == "append" and read_meta(spark, path)["samples"] != list(v.samples):
-        raise ValueError("the store has other samples")
-    v.df.write.mode(mode).format(fmt).save(f"{path}/variants")
+    """mode append lets a store grow; samples must be the same then, and variant_idx goes on behind the largest that is there."""
+    spark, df = v.df.sparkSession, v.df
+    if mode == "append":
+        if read_meta(spark, path)["samples"] != list(v.samples):
+            raise ValueError("the store has other samples")
+        last = read_store(spark, path, []).df.agg(F.max("variant_idx")).first()[0]
+        first = df.agg(F.min("variant_idx")).first()[0]
+        if last is not None and first is not None:
+            df = df.withColumn("variant_idx", F.col("variant_idx") + (last + 1 - first))
+    df.write.mode(mode).format(fmt).save(f"{path}/variants")
     meta = json.dumps({"samples": list(v.samples), "metadata": v.metadata, "format": fmt})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 

@@ -34,8 +34,26 @@ def parse_header(lines: list[str]) -> tuple[tuple[str, ...], dict]:
     return samples, meta
 
 
+def _real(c: Column) -> Column:
+    """Any form of a number, exponents too; NULL for what is none."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def _int(c: Column) -> Column:
-    return F.coalesce(F.try_to_number(c, F.lit("999999999")).cast("int"), F.lit(G.MISSING))
+    """A number rounded to an integer, -1 for what is none."""
+    return F.coalesce(F.round(_real(c)).try_cast("int"), F.lit(G.MISSING))
+
+
+def _info(kind: str, number: str | None, name: str) -> Column:
+    """A key's value in the info text, by its type and number in the header; NULL where it is missing, or false for a flag."""
+    entries = F.split(F.coalesce(F.col("info"), F.lit("")), ";")
+    if kind == "Flag":
+        return F.exists(entries, lambda e: e == name)
+    text = F.substring(F.get(F.filter(entries, lambda e: F.startswith(e, F.lit(name + "="))), F.lit(0)), len(name) + 2, 1 << 30)
+    text = F.when(text != ".", text)
+    one = {"Integer": lambda x: F.round(_real(x)).try_cast("int"), "Float": _real}.get(kind, lambda x: F.when(x != ".", x))
+    return one(text) if number == "1" or kind not in ("Integer", "Float") else F.transform(F.split(text, ","), one)
 
 
 def _numbers(size: Column):
@@ -44,8 +62,8 @@ def _numbers(size: Column):
     return lambda x: F.transform(places, lambda k: _int(F.get(F.split(F.coalesce(x, F.lit(".")), ","), k - 1)))
 
 
-def read_vcf(spark, path: str, fields=None) -> Variations:
-    """Plain or compressed VCF. variant_idx is dense in file order: rows are counted by split, and only those counts and the FORMATs seen reach the driver. Call fields that no row has are left out."""
+def read_vcf(spark, path: str, fields=None, info_fields=()) -> Variations:
+    """Plain or compressed VCF; info_fields names INFO keys of the header that become columns info_<key> of their type. variant_idx is dense in file order: rows are counted by split, and only those counts and the FORMATs seen reach the driver. Call fields that no row has are left out."""
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     header = [r.value for r in text.filter(F.col("value").startswith("#")).select("value").distinct().collect()]
     samples, meta = parse_header(header)
@@ -65,7 +83,7 @@ def read_vcf(spark, path: str, fields=None) -> Variations:
     n_alt = F.when(F.get("p", F.lit(4)) == ".", 0).otherwise(F.size(F.split(F.get("p", F.lit(4)), ",")))
     out = {
         "chrom": F.get("p", F.lit(0)), "pos": F.get("p", F.lit(1)).cast("long"), "id": known(2), "ref": F.get("p", F.lit(3)),
-        "alt": F.when(F.get("p", F.lit(4)) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get("p", F.lit(4)), ",")), "qual": F.try_to_number(known(5), F.lit("999999999.999999")).cast("double"),
+        "alt": F.when(F.get("p", F.lit(4)) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get("p", F.lit(4)), ",")), "qual": _real(known(5)),
         "filter": known(6), "info": known(7),
     }
     for f, key in CALL_KEYS.items() if samples else ():
@@ -79,7 +97,12 @@ def read_vcf(spark, path: str, fields=None) -> Variations:
         else:
             out[f] = F.transform(value(key), _int)
     wanted = [f for f in out if fields is None or f in fields]
-    return Variations(rows.select("variant_idx", *[out[f].alias(f) for f in wanted]), samples if any(f in CALL_FIELDS for f in wanted) or samples else (), meta)
+    described = {k: meta.get(f"INFO/{k}") for k in info_fields}
+    if lost := [k for k, d in described.items() if d is None]:
+        raise KeyError(f"no such INFO in the header: {lost}")
+    typed = [_info(d["Type"], d["Number"], k).alias(f"info_{k}") for k, d in described.items()]
+    rows = rows.withColumn("info", out["info"]) if typed else rows
+    return Variations(rows.select("variant_idx", *[out[f].alias(f) for f in wanted], *typed), samples if any(f in CALL_FIELDS for f in wanted) or samples else (), meta)
 
 
 def number_text(x: Column) -> Column:
@@ -112,15 +135,21 @@ def flags_text(flags: dict[str, Column]) -> Column:
 
 
 def info_text(values: dict[str, tuple[str, Column]]) -> Column:
-    """key=value pairs joined by semicolons; (kind, column) with kind flag, int, float, string or ints; missing ones left out."""
+    """key=value pairs joined by semicolons; (kind, column) with kind flag, int, float, string, ints or floats; missing ones left out."""
     parts = []
     for key, (kind, c) in values.items():
-        shown = {"int": integer_text, "float": number_text, "string": _text, "ints": _joined}.get(kind)
+        shown = {"int": integer_text, "float": number_text, "string": _text, "ints": _joined, "floats": lambda x: F.coalesce(F.array_join(F.transform(x, number_text), ","), F.lit("."))}.get(kind)
         parts.append(F.when(c, F.lit(key)) if kind == "flag" else F.when(shown(c) != ".", F.concat(F.lit(key + "="), shown(c))))
     kept = F.array_compact(F.array(*parts))
     return F.when(F.size(kept) == 0, ".").otherwise(F.array_join(kept, ";"))
 
 
+def info_columns(v: Variations) -> dict:
+    """The columns info_<key> as info_text takes them."""
+    kinds = {"boolean": "flag", "int": "int", "double": "float", "string": "string", "array<int>": "ints", "array<double>": "floats"}
+    return {c.removeprefix("info_"): (kinds[t], F.col(c)) for c, t in v.df.dtypes if c.startswith("info_")}
+
+
 def body_lines(v: Variations, legacy: bool = False, filters: dict[str, Column] | None = None, info: dict | None = None) -> DataFrame:
     """(variant_idx, line). legacy repeats GT among the sorted fields and writes its alleles with commas, a dot for a missing call."""
     fields = sorted(f for f in CALL_FIELDS if f in v and (legacy or f != "gt"))
@@ -137,6 +166,8 @@ def body_lines(v: Variations, legacy: bool = False, filters: dict[str, Column] |
         zipped = F.arrays_zip(*[F.col(f) for f in dict.fromkeys(order)])
         calls = F.concat(F.lit("\t"), F.array_join(F.transform(zipped, lambda z: F.concat_ws(":", *[shown(f, z[f]) for f in order])), "\t"))
     have = lambda f, c: c if f in v else F.lit(".")
+    # the text of the file goes before the columns read from it
+    info = info or ({} if "info" in v else info_columns(v))
     flt = flags_text(filters) if filters else have("filter", _text(F.col("filter")))
     inf = info_text(info) if info else have("info", _text(F.col("info")))
     cells = [

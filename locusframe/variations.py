@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CALL_FIELDS = ("gt", "gq", "dp", "ro", "ao", "ad")
@@ -33,6 +33,15 @@ def missing_value(kind: str):
         raise ValueError(f"no missing value for {kind}") from None
 
 
+#: Ranges of indices in which places are counted, and places up to which a list of them is broadcast: 8 bytes each.
+RANGES, BROADCAST_PLACES = 4096, 1_000_000
+
+
+def _met(df: DataFrame, places, column: str) -> DataFrame:
+    wanted = df.sparkSession.createDataFrame([(int(i),) for i in set(places)], f"{column} long")
+    return df.join(F.broadcast(wanted) if len(places) <= BROADCAST_PLACES else wanted.hint("merge"), column, "left_semi")
+
+
 @dataclass(frozen=True)
 class Variations:
     df: DataFrame
@@ -84,8 +93,33 @@ class Variations:
             raise EmptyVariationsError("no genotypes")
         return row.p
 
+    def ranked(self) -> tuple[DataFrame, int]:
+        """(df with __rank, the place from 0 by variant_idx; number of variants). Indices without gaps are places themselves; others are counted in two steps, over ranges of indices and inside them."""
+        lo, hi, n = self.df.agg(F.min("variant_idx"), F.max("variant_idx"), F.count("*")).first()
+        if not n or hi - lo + 1 == n:
+            return self.df.withColumn("__rank", F.col("variant_idx") - F.lit(lo or 0)), n
+        width = -(-(hi - lo + 1) // RANGES)
+        spread = self.df.withColumn("__range", F.floor((F.col("variant_idx") - lo) / width))
+        before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        base = spread.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+        inside = F.row_number().over(Window.partitionBy("__range").orderBy("variant_idx"))
+        # at most RANGES rows
+        found = spread.withColumn("__inside", inside).join(F.broadcast(base), "__range").withColumn("__rank", F.col("__base") + F.col("__inside") - 1)
+        return found.drop("__range", "__base", "__inside"), n
+
+    def _at(self, places: list[int]) -> "Variations":
+        df, _ = self.ranked()
+        return self.with_df(_met(df, places, "__rank").drop("__rank"))
+
     def get_vars(self, index) -> "Variations":
-        """A condition, a slice of variant_idx, or a list of variant_idx."""
+        """A condition, a slice of variant_idx, or a list of variant_idx; a mask of booleans, and negative numbers, count places by variant_idx, as arrays do."""
+        if isinstance(index, slice) and any(x is not None and x < 0 for x in (index.start, index.stop, index.step)):
+            df, n = self.ranked()
+            places = range(n)[index]
+            if not places:
+                return self.with_df(df.filter(F.lit(False)).drop("__rank"))
+            low, high, step = min(places), max(places), abs(places.step)
+            return self.with_df(df.filter((F.col("__rank") >= low) & (F.col("__rank") <= high) & ((F.col("__rank") - low) % step == 0)).drop("__rank"))
         if isinstance(index, slice):
             cond = F.lit(True)
             if index.start is not None:
@@ -95,9 +129,17 @@ class Variations:
             if index.step not in (None, 1):
                 cond = cond & (F.pmod(F.col("variant_idx") - (index.start or 0), F.lit(index.step)) == 0)
             return self.with_df(self.df.filter(cond))
+        if hasattr(index, "tolist") and not isinstance(index, Column):
+            index = index.tolist()
         if isinstance(index, (list, tuple)):
-            wanted = self.df.sparkSession.createDataFrame([(int(i),) for i in index], "variant_idx long")
-            return self.with_df(self.df.join(F.broadcast(wanted), "variant_idx", "left_semi"))
+            if index and all(isinstance(i, bool) for i in index):
+                if len(index) != (n := self.num_variations):
+                    raise IndexError(f"a mask of {len(index)} for {n} variants")
+                return self._at([k for k, keep in enumerate(index) if keep])
+            if any(i < 0 for i in index):
+                n = self.num_variations
+                return self._at([i % n if -n <= i < n else n for i in index])
+            return self.with_df(_met(self.df, index, "variant_idx"))
         return self.with_df(self.df.filter(F.coalesce(index, F.lit(False))))
 
     def iterate_chunks(self, chunk_size: int) -> Iterator["Variations"]:

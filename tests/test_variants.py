@@ -435,3 +435,78 @@ def test_array_functions(spark):
     assert list(got) == [7, 1, 4, None, None, 4, 2, 3, True, False, [2, 4, 8], [-1, 2, 4], [1, 2], [7, 7], [1, 1, 1], False, True, True, True, True, True, False]
     doubled = A.map_blocks(spark.range(5), lambda t: t.set_column(0, "id", pc.multiply(t.column(0), 2)), "id long")
     assert sorted(r.id for r in doubled.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_all_alleles_count_unless_limited(spark):
+    a = simple(spark, [[[0, 2], [2, 2], [0, 0]], [[0, 0], [0, 0], [0, 0]]])
+    kept, _ = pipeline.build(a, remove_non_variable_snvs=True, stats=False)
+    assert [r.variant_idx for r in kept.df.collect()] == [0]
+    counts = a.df.orderBy("variant_idx").select(G.allele_counts(F.col("gt"), None).alias("c"), G.major_freq(F.col("gt"), None, None).alias("m")).collect()
+    assert [r.c for r in counts] == [[3, 0, 3], [6]] and [r.m for r in counts] == [0.5, 1.0]
+
+
+def test_numbers_of_vcf_in_all_forms(spark, tmp_path):
+    path = tmp_path / "n.vcf"
+    head = ["##fileformat=VCFv4.2", '##INFO=<ID=AF,Number=A,Type=Float,Description="f">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="d">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="x">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0"]
+    quals, infos = ["2.21684e-10", "1234.5678912", "1e3", ".", "nan"], ["AF=0.5,1e-3;DP=7;DB", "DP=.", ".", "DB;AF=.", "XDP=3;DP=4"]
+    body = [f"c\t{k + 1}\t.\tA\tC,G\t{q}\t.\t{i}\tGT:GQ\t0/1:{g}" for k, (q, i, g) in enumerate(zip(quals, infos, ["35.2", "7", ".", "1e1", "99"]))]
+    path.write_text("\n".join(head + body) + "\n")
+    a = vcf.read_vcf(spark, str(path), info_fields=["AF", "DP", "DB"])
+    rows = a.df.orderBy("variant_idx").collect()
+    assert [r.qual for r in rows] == [2.21684e-10, 1234.5678912, 1000.0, None, None]
+    assert [r.gq for r in rows] == [[35], [7], [-1], [10], [99]]
+    assert [(r.info_AF, r.info_DP, r.info_DB) for r in rows] == [([0.5, 0.001], 7, True), (None, None, False), (None, None, False), (None, None, True), (None, 4, False)]
+    again = vcf.body_lines(a.with_df(a.df.drop("info"))).orderBy("variant_idx").collect()
+    assert [r.line.split("\t")[7] for r in again] == ["AF=0.5,0.001;DP=7;DB", ".", ".", "DB", "DP=4"]
+    with pytest.raises(KeyError):
+        vcf.read_vcf(spark, str(path), info_fields=["NO"])
+
+
+def test_growing_stores_have_dense_indices(v, spark, tmp_path):
+    path = f"{tmp_path}/grown"
+    store.write_store(v, path)
+    store.write_store(v, path, mode="append")
+    assert sorted(r.variant_idx for r in store.read_store(spark, path).df.collect()) == list(range(14))
+
+
+def test_many_regions_keep_repeated_indices(spark):
+    a = simple(spark, [[[0, 1]]] * 4, positions=[5, 100, 205, 900])
+    a = a.with_df(a.df.withColumn("variant_idx", F.lit(1).cast("long")))
+    regions = [("chr1", k * 100, k * 100 + 10) for k in range(80) if k != 9] + [("chr1", 3, 7), ("chr1", 200, 206)]
+    for stats in (True, False):
+        kept = filters.keep_variations_in_regions(a, regions, stats=stats)
+        assert sorted(r.pos for r in kept.variations.df.collect()) == [5, 100, 205]
+        gone = filters.remove_variations_in_regions(a, regions, stats=stats)
+        assert [r.pos for r in gone.variations.df.collect()] == [900] and gone.variations.df.columns == a.df.columns
+    assert kept.stats() == {} and filters.keep_variations_in_regions(a, regions).stats is not None
+
+
+def test_random_pairs_after_a_filter(spark):
+    rng = np.random.default_rng(3)
+    gts = rng.integers(0, 2, (60, 30, 2)).tolist()
+    a = simple(spark, gts, chroms=[f"chr{k % 2}" for k in range(60)])
+    sparse = a.with_df(a.df.withColumn("variant_idx", F.col("variant_idx") * 17 + 3).filter(F.col("variant_idx") % 3 != 0))
+    known = {r.variant_idx for r in sparse.df.collect()}
+    rows = ld.ld_random_pairs(sparse, 100, 2, attempts=20, check=False).collect()
+    assert len(rows) == 100 and {i for r in rows for i in (r.variant_idx1, r.variant_idx2)} <= known
+    flat = a.with_df(a.df.withColumn("gt", F.transform("gt", lambda c: F.array(F.lit(0), F.lit(0)))))
+    with pytest.raises(RuntimeError):
+        ld.ld_random_pairs(flat, 5, 2, check=False)
+
+
+def test_masks_and_negative_places(v):
+    of = lambda x: sorted(r.variant_idx for r in x.df.collect())
+    assert of(v.get_vars([True, False, True, False, False, False, False])) == [0, 2]
+    assert of(v.get_vars(np.array([False] * 6 + [True]))) == [6] and of(v.get_vars([-1, 0])) == [0, 6]
+    assert of(v.get_vars(slice(-2, None))) == [5, 6] and of(v.get_vars(slice(None, None, -3))) == [0, 3, 6]
+    gaps = v.with_df(v.df.filter(F.col("variant_idx") % 2 == 1))
+    assert of(gaps.get_vars([False, True, True])) == [3, 5] and of(gaps.get_vars(slice(-1, None))) == [5]
+    with pytest.raises(IndexError):
+        v.get_vars([True])
+
+
+def test_summary_folder(v, tmp_path):
+    stats.write_summary(v, tmp_path / "s", "calls", min_num_genotypes=0, min_dp=0)
+    text = (tmp_path / "s" / "stats.txt").read_text().splitlines()
+    assert text[0] == "STATS FOR: calls" and text[2:4] == ["Num. variations: 7", "Num. samples: 3"]
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["called.csv", "mac.csv", "maf.csv", "obs_het.csv", "stats.txt"]
