@@ -41,7 +41,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near(rows):
+def near(rows, similarity=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
 
@@ -54,7 +54,7 @@ def near(rows):
         for j, b in sets[:k]:
             if i is None or j is None or not a or not b:
                 continue
-            if 100 * len(a & b) >= 85 * len(a | b):
+            if 100 * len(a & b) >= similarity * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return [(i, len(s), None if i is None else root(i), i is None or i == root(i)) for i, s in sets]

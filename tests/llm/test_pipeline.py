@@ -22,7 +22,7 @@ def test_pipeline_stages_follow_from_their_inputs(spark, sf):
     good, exact, near, mixed, encoded = ([tuple(r) for r in o.collect()] for o in outs)
     ids = lambda rows: sorted(r[0] for r in rows)
     assert ids(exact) == sorted(r[0] for r in brute.exact([(r[0], r[1]) for r in good]) if r[3])
-    assert ids(near) == sorted(r[0] for r in brute.near([(r[0], r[1]) for r in exact]) if r[3])
+    assert ids(near) == sorted(r[0] for r in brute.near([(r[0], r[1]) for r in exact], p.SIMILARITY) if r[3])
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = byte_bpe.read_ranks(f.read())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
