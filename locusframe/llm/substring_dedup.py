@@ -238,7 +238,9 @@ class FingerprintIndex:
         claims = whole.filter("doc_id > first").select("doc_id", "fp", "start", "n", m.alias("m"), F.col("first").alias("src"), "at")
         # anchors with several entries: window by window, for the first document of each
         mixed = entries.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.max("new").alias("any")).filter("kinds > 1 and lo < hi and any = 1").select("h")
-        wanted = cut(entries.join(mixed, "h").select("h", "ctx", "first"), "mixed")
+        # a table of its own, so that a hot anchor can be split in the join
+        anchors = cut(mixed, "anchors")
+        wanted = cut(entries.join(anchors, "h").select("h", "ctx", "first"), "mixed")
         windows = cut(window_rows(wanted, _of(texts, wanted.select(F.col("first").alias("doc_id")))), "windows")
         low = windows.groupBy("h", "w").agg(F.min("first").alias("src"), F.min_by("at", "first").alias("src_at"), F.max("first").alias("hi")).filter("src < hi").select("h", "w", "src", "src_at")
         offs = windows.join(low, ["h", "w"]).filter("src < first").groupBy("h", "ctx", F.col("first").alias("doc_id")).agg(F.collect_set(F.struct("off", "src", "src_at")).alias("offs"))
@@ -249,7 +251,7 @@ class FingerprintIndex:
         spans = cut(words_at(longer.select("src", "at", "m").distinct(), _of(texts, longer.select(F.col("src").alias("doc_id")))), "spans")
         found = longer.join(spans, ["src", "at", "m"]).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "m", "words")).alias("claims"))
         gone = cut(found, "gone")
-        drop(prints, entries, wanted, windows, longer, spans)
+        drop(prints, entries, anchors, wanted, windows, longer, spans)
         self._keep([*self.runs, (name, hot)], [*self.tables, own])
         return gone
 
@@ -260,8 +262,30 @@ def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(broadcast_if_small(held, held.count(), BROADCAST_IDS), "doc_id", "left_semi")
 
 
+def covering(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The fewest of the ranges of words (start, end) of each row that cover the same words as all of them."""
+    order = np.lexsort((end, start, row))
+    kept, last, covered, best = [], None, 0, -1
+    reach = -1  # the furthest end among the ranges that begin in what is covered
+    for i, r, s, e in zip(order.tolist(), row[order].tolist(), start[order].tolist(), end[order].tolist()):
+        if r != last or s > covered:
+            # what was held back is needed, and may reach on
+            if r == last and reach > covered:
+                kept.append(best)
+                covered, reach = reach, -1
+            if r != last and last is not None and reach > covered:
+                kept.append(best)
+            if r != last or s > covered:
+                last, covered, reach = r, s, -1
+        if e > reach:
+            reach, best = e, i
+    if reach > covered:
+        kept.append(best)
+    return np.array(kept, np.int64)
+
+
 def joined(claims: DataFrame) -> DataFrame:
-    """claims(doc_id, fp, start, n, m, src, at) with those that continue each other in both documents as one."""
+    """claims(doc_id, fp, start, n, m, src, at) with those that continue each other in both documents as one, and without those whose words others cover: a document has fewer than two for each window's length."""
     lists = claims.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("src", "at", "start", "n", "m")).alias("claims"))
 
     def make():
@@ -284,7 +308,10 @@ def joined(claims: DataFrame) -> DataFrame:
             first = np.flatnonzero(new)
             last = np.append(first[1:], new.size) - 1
             size = np.where((m == n)[first], far[last] - start[first], n[first])
-            cols = (doc[first], fp[first], start[first].astype(np.int32), size.astype(np.int32), np.where((m == n)[first], size, m[first]).astype(np.int32), src[first], at[first].astype(np.int32))
+            row, doc, fp, start, src, at = (x[first] for x in (row, doc, fp, start, src, at))
+            times = np.where((m == n)[first], size, m[first])
+            keep = covering(row, start, start + size + WINDOW - 1)
+            cols = (doc[keep], fp[keep], start[keep].astype(np.int32), size[keep].astype(np.int32), times[keep].astype(np.int32), src[keep], at[keep].astype(np.int32))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "fp", "start", "n", "m", "src", "at"])
 
         return run

@@ -144,6 +144,18 @@ def test_hot_anchors_and_entries_are_dealt_apart(monkeypatch, messy, rows):
     brute.same(substring_dedup.report(found).collect(), brute.windows(pairs(rows)))
 
 
+def test_fewest_ranges_cover_the_same_words():
+    rng = np.random.default_rng(9)
+    words = lambda rows, s, e: {(r, w) for r, a, b in zip(rows, s, e) for w in range(a, b)}
+    for n in (1, 2, 5, 30, 200):
+        row, s = rng.integers(0, 3, n), rng.integers(0, 300, n)
+        e = s + rng.integers(1, 60, n)
+        keep = substring_dedup.covering(row, s, e)
+        assert words(row, s, e) == words(row[keep], s[keep], e[keep])
+        # no word of three of them
+        assert all(sum(r == row[k] and s[k] <= w < e[k] for k in keep) <= 2 for r, w in words(row, s, e))
+
+
 def test_claims_are_verified_by_words():
     words = [b"w%d" % i for i in range(60)]
     claim = {"start": 3, "n": 2, "m": 2, "words": b" ".join(words[3:54])}
