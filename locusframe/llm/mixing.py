@@ -29,8 +29,8 @@ BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 #: Modulus, factors and rounds of the random numbers.
 PRIME, FACTOR, FACTOR2, ROUNDS = 2**31 - 1, 48271, 69621, 16
-#: Rows of a table of sources up to which it is broadcast: 40 bytes each. Bins by which a draw finds its source, at least.
-BROADCAST_SOURCES, BINS = 100_000, 1024
+#: Rows of a table of sources up to which it is broadcast: 40 bytes each, and of one with round keys, 300 bytes each. Bins by which a draw finds its source, at least.
+BROADCAST_SOURCES, BROADCAST_KEYED, BINS = 100_000, 20_000, 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
@@ -91,16 +91,30 @@ def _uniform(df: DataFrame, x: str, n: int) -> DataFrame:
     return df.withColumn("u", (F.col("p") * PRIME + F.col("q")) % n).drop("p", "q")
 
 
-def permuted(x: Column, n: Column, seed: Column) -> Column:
-    """Where the permutation of 0 .. n - 1 sends x."""
+def round_keys(n: Column, seed: Column) -> Column:
+    """The rounds of the permutation of 0 .. n - 1 as an array: each one's key, and the sum of a place and its mirror image modulo n. They depend on the source only, so they are made once a source."""
 
-    def swapped(at: Column, r: Column) -> Column:
+    def one(r: Column) -> Column:
         key = (seed * (r + 2) * 104729 + r * 15485863) % PRIME
-        mirror = F.pmod(key * FACTOR2 + r - at, n)
-        y = _linear(F.greatest(at, mirror), key)
-        return F.when((y * y) % PRIME % 2 == 1, mirror).otherwise(at)
+        return F.struct(key.alias("key"), F.pmod(key * FACTOR2 + r, n).alias("both"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)).cast("array<bigint>"), one)
+
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """Where the permutation of 0 .. n - 1 with the given round_keys sends x."""
+
+    def odd(y: Column) -> Column:
+        return (y * y) % PRIME % 2 == 1
+
+    def swapped(at: Column, r: Column) -> Column:
+        mirror = r["both"] - at + F.when(at > r["both"], n).otherwise(0)
+        pair = F.greatest(at, mirror)
+        # places below the prime need no second factor; a lambda names a residue that is used twice, as what is written twice in a lambda is computed twice
+        y = F.when(n <= PRIME, (pair * FACTOR + r["key"]) % PRIME).otherwise(_linear(pair, r["key"]))
+        return F.when(F.transform(F.array(y), odd)[0], mirror).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)).cast("array<bigint>"), x, swapped)
+    return F.aggregate(keys, x, swapped)
 
 
 def _running(counts: DataFrame) -> DataFrame:
@@ -148,10 +162,12 @@ def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = _running(cut(shard_counts(totals, shard_slots), "counts"))
     seed = _digest(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
+    # written, so that the planner can't move the rounds' keys behind the join, to each slot
+    keyed = totals.select("k", "source", "blocks", round_keys(F.col("blocks"), seed).alias("keys"))
     # shards are dealt to a stated number of tasks, as their counts are few bytes and what they make is not
-    dealt = numbered.repartition(parts, "shard").join(broadcast_if_small(totals.select("k", "source", "blocks", seed.alias("seed")), targets.count(), BROADCAST_SOURCES), "k")
+    dealt = numbered.repartition(parts, "shard").join(broadcast_if_small(cut(keyed, "keys"), targets.count(), BROADCAST_KEYED), "k")
     slots = dealt.withColumn("slot", F.explode(F.expr("sequence(before, before + n - 1)")))
-    return slots.select("k", "source", "slot", "shard", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("seed")).alias("block"), F.expr("slot div blocks").alias("round"))
+    return slots.select("k", "source", "slot", "shard", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("keys")).alias("block"), F.expr("slot div blocks").alias("round"))
 
 
 def pieces_of(laid: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
