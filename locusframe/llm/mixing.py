@@ -16,6 +16,8 @@ for every n. All random numbers are integer arithmetic modulo a prime, so SQL ca
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,20 +215,49 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed_shards(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(shard, place, doc_id, source, text): the mix itself, each shard's slots in a random order, as the words that documents have in the drawn blocks, joined by one space. A shard's rows lie in one partition, in order. place numbers the slots by a hash; rows of one slot follow each other."""
     laid, slots = mix(docs, weights, block_words, shard_slots)
+    repeated = _repeated(laid)
     drawn = slots.select("k", "block", "shard", F.xxhash64(F.lit(SEED), "k", "slot").alias("place")).hint("merge")
-    spans = pieces_of(laid, block_words).join(drawn, ["k", "block"]).groupBy("doc_id", "source", "size", "start").agg(F.collect_list(F.struct("shard", "place", "lo", "hi", F.col("start").alias("at"))).alias("spans"))
-    rows = _turns(_sized(docs.select("doc_id", "source", "text")).withColumn("tie", F.xxhash64("text")), "tie").drop("tie")
-    met = rows.alias("d").join(_turns(spans, "start").alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.size = c.size and d.turn = c.turn"))
-    words = met.select("d.doc_id", "d.source", "c.spans", F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)).alias("words"))
-    cutout = F.transform("spans", lambda s: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), s["at"].alias("at"), F.array_join(F.slice("words", (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")), " ").alias("text")))
-    out = words.select("doc_id", "source", F.explode(cutout).alias("p")).select("p.shard", "p.place", "p.at", "doc_id", "source", "p.text")
+    pieces = pieces_of(_told_apart(laid, repeated, F.col("size"), F.col("start")), block_words)
+    spans = pieces.join(drawn, ["k", "block"]).groupBy("doc_id", "source", "part", "turn").agg(F.collect_list(F.struct("shard", "place", "lo", "hi", F.col("start").alias("at"))).alias("spans"))
+    met = _met(docs.select("doc_id", "source", "text"), spans, repeated, F.col("text"))
+    piece = lambda s, words: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), s["at"].alias("at"), F.array_join(_words_of(s, words), " ").alias("text"))
+    words = met.select("d.doc_id", "d.source", _of_words(F.col("d.text"), F.col("c.spans"), piece).alias("cutout"))
+    out = words.select("doc_id", "source", F.explode("cutout").alias("p")).select("p.shard", "p.place", "p.at", "doc_id", "source", "p.text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(parts, "shard").sortWithinPartitions("shard", "place", "at").drop("at")
 
 
-def _turns(df: DataFrame, order: str) -> DataFrame:
-    """df with turn: rows that repeat an id, a source and a size are told apart by their order."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(order)))
+def _repeated(laid: DataFrame) -> DataFrame:
+    """(doc_id, source) of rows that share both with another row."""
+    return cut(laid.groupBy("doc_id", "source").count().filter("count > 1").select("doc_id", "source"), "repeated")
+
+
+def _told_apart(rows: DataFrame, repeated: DataFrame, size: Column, order: Column) -> DataFrame:
+    """rows(doc_id, source, ...) with part and turn, which tell apart rows of one id and source: their size, and their order among those of a size. Only rows that are in repeated are numbered; the others have -1 and 1."""
+    single = rows.withColumns({"part": F.lit(-1).cast("long"), "turn": F.lit(1)})
+    ids = repeated.count()
+    if not ids:
+        return single
+    known = broadcast_if_small(repeated, ids, BROADCAST_SOURCES).alias("r")
+    same = F.expr("d.doc_id <=> r.doc_id and d.source <=> r.source")
+    several = rows.alias("d").join(known, same, "left_semi").withColumn("part", size.cast("long"))
+    several = several.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "part").orderBy(order)))
+    return single.alias("d").join(known, same, "left_anti").unionByName(several)
+
+
+def _met(rows: DataFrame, spans: DataFrame, repeated: DataFrame, text: Column) -> DataFrame:
+    """rows as d with their spans as c. A text is shuffled once, and its words are counted only where its id repeats."""
+    found = _told_apart(rows, repeated, F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)), F.xxhash64(text))
+    return found.alias("d").join(spans.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.part = c.part and d.turn = c.turn"))
+
+
+def _words_of(span: Column, words: Column) -> Column:
+    return F.slice(words, (span["lo"] + 1).cast("int"), (span["hi"] - span["lo"]).cast("int"))
+
+
+def _of_words(text: Column, spans: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(span, the text's words) for each of spans. The words are a lambda's argument, so that they are found once a text; a column of them would be computed again for each span."""
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda words: F.transform(spans, lambda s: f(s, words)))[0]
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -237,22 +268,16 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int
     Nulls, repeats and empty tables as in mix; mixed_shards gives the mix in the order of its shards.
     """
     laid, slots = mix(docs, weights, block_words)
-    spans = taken_spans(laid, slots, block_words)
+    repeated = _repeated(laid)
+    spans = taken_spans(_told_apart(laid, repeated, F.col("size"), F.col("start")), slots, block_words)
     copies = (
         spans.withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
-        .groupBy("doc_id", "source", "size", "start", "copy")
+        .groupBy("doc_id", "source", "part", "turn", "size", "copy")
         .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.expr("hi - lo")).alias("drawn"))
     )
-    # rows that repeat an id are told apart by their order among equals, as in laid_out
-    starts = _turns(laid, "start").select("doc_id", "source", "start", "turn")
-    copies = copies.alias("c").join(starts.alias("s"), F.expr("c.doc_id <=> s.doc_id and c.source <=> s.source and c.start = s.start")).select("c.*", "s.turn")
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
     # the text goes along once, in its row
-    rows = _sized(whole).select("doc_id", "source", "size", F.xxhash64("text").alias("tie"), "row")
-    rows = _turns(rows, "tie").drop("tie")
-    kept = rows.alias("d").join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.size = c.size and d.turn = c.turn"))
-    part = F.col("c.drawn") < F.col("c.size")
-    words = F.when(part, F.regexp_extract_all("d.row.text", F.lit(WORD), F.lit(0)))
-    taken = F.array_join(F.flatten(F.transform(F.col("c.spans"), lambda s: F.slice(F.col("all_words"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
-    out = kept.withColumn("all_words", words).withColumn("mixed", F.when(part, taken).otherwise(F.col("d.row.text"))).select("d.row", "mixed")
+    kept = _met(docs.select("doc_id", "source", F.struct(*docs.columns).alias("row")), copies, repeated, F.col("row.text"))
+    taken = F.array_join(F.flatten(_of_words(F.col("d.row.text"), F.col("c.spans"), _words_of)), " ")
+    mixed = F.when(F.col("c.drawn") < F.col("c.size"), taken).otherwise(F.col("d.row.text"))
+    out = kept.select("d.row", mixed.alias("mixed"))
     return out.select(*[F.col("mixed").alias(c) if c == "text" else F.length("mixed").cast(t).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c, t in docs.dtypes])
