@@ -323,6 +323,34 @@ def test_mixed_documents_hold_the_taken_words(docs, messy):
         assert {i: n for i, n in taken.items() if n} == words
 
 
+def test_rows_that_repeat_an_id_are_mixed_apart(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 300), ("b", 200), ("c", 70))]
+    rows = [(1, "", "x"), (1, None, "x"), *[(1, t, "x") for t in texts], (1, texts[1], "x"), (1, texts[0], "y"), (None, texts[2], None), (None, "", None), (None, texts[1], None), (2, texts[0], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {i: brute.WORD.findall(t or "") for i, t in enumerate(texts)}
+    words = {}
+    for r in mixing.mixed_documents(df).collect():
+        got = r.text.split(" ")
+        (whole,) = [w for w in plain.values() if w[0][0] == got[0][0]]
+        assert got == [w for w in whole if w in set(got)]
+        key = r.doc_id, r.source, len(whole)
+        words[key] = words.get(key, 0) + len(got)
+    taken, sizes = {}, {(t, s): len(brute.WORD.findall(t or "")) for _, t, s in rows}
+    laid, slots = mixing.mix(df)
+    for r in mixing.taken_spans(laid, slots).collect():
+        key = r.doc_id, r.source, r.size
+        taken[key] = taken.get(key, 0) + r.times * (r.hi - r.lo)
+    assert words == taken and {k[2] for k in taken} <= set(sizes.values())
+    pieces = {}
+    for r in mixing.mixed_shards(df, shard_slots=4).collect():
+        key = r.doc_id, r.source
+        pieces[key] = pieces.get(key, 0) + len(r.text.split(" "))
+    sums = {}
+    for (i, s, _), n in taken.items():
+        sums[i, s] = sums.get((i, s), 0) + n
+    assert pieces == sums
+
+
 def test_slots_permute_blocks(spark):
     targets = spark.createDataFrame([(0, "a", 64 * 1000003, 1.5 * 64 * 1000003 / 1000), (1, "b", 6400, 12800.0), (2, None, 65, 100.0)], "k long, source string, source_size long, target double")
     slots = mixing.draw_slots(targets).collect()
